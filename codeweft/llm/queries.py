@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import codefilter, docpairs
+from . import codefilter, docpairs, leakage, tokenize
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +25,28 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.pairs(load(spark, sf_dir, "symbols"), load(spark, sf_dir, "source_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pairs)}
-SQL: dict[str, str] = {}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.encode(load(spark, sf_dir, "documents"))
+
+
+def p7_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.encode(load(spark, sf_dir, "documents"), offsets=True)
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text encoded and decoded again."""
+    return tokenize.decode(p7_ids(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+
+
+def p8_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items and the documents that hold them, per suite."""
+    found = p8_found(spark, sf_dir).join(load(spark, sf_dir, "eval_items").select("item_id", "suite"), "item_id")
+    return found.groupBy("suite").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pairs, p7_ids, p7_offsets, p7_decoded, p8_found, p8_suites)}
+SQL: dict[str, str] = {"p7_decoded": "select doc_id, coalesce(text, '') as text from documents"}
