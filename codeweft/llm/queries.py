@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import codefilter, docpairs, leakage, tokenize
+from . import codefilter, docpairs, leakage, sentences, tokenize
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +48,9 @@ def p8_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("suite").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pairs, p7_ids, p7_offsets, p7_decoded, p8_found, p8_suites)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.units(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_pairs, p7_ids, p7_offsets, p7_decoded, p8_found, p8_suites, p9_found)}
 SQL: dict[str, str] = {"p7_decoded": "select doc_id, coalesce(text, '') as text from documents"}
