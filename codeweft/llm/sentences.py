@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 #: Placeholders (private use): a cut, a masked dot, a list marker, a masked terminator, a line break inside a unit, a heading's or code's start.
-CUT, DOT, MARK, HELD, LINE, HEAD = "", "", "", "", "", ""
+CUT, DOT, MARK, HELD, LINE, HEAD = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
 
 #: White space, as characters. Fixed values.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
@@ -77,12 +77,14 @@ _HELD = "|".join(
     ]
 )
 _FREE = r"[^(（\[【「『《„“«»‹‘\"'`]++"
+_OPENS = r"\A[(（\[【「『《„“«»‹‘\"'`]"
 
 
-def _spans(c: Column, pattern: str, other: str, change) -> Column:
-    """c with change() applied to each stretch that the pattern matches whole; lengths stay."""
-    pieces = F.regexp_extract_all(c, F.lit(f"(?s)(?:{pattern})|{other}|."), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.when(F.rlike(p, F.lit(f"(?s)\\A(?:{pattern})\\z")), change(p)).otherwise(p)), "")
+def _spans(c: Column, change) -> Column:
+    """c with change() applied to each quoted or bracketed stretch; lengths stay."""
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s)(?:{_HELD})|{_FREE}|."), F.lit(0))
+    held = lambda p: (F.length(p) > 1) & F.rlike(p, F.lit(_OPENS))
+    return F.array_join(F.transform(pieces, lambda p: F.when(held(p), change(p)).otherwise(p)), "")
 
 
 def _sub(c: Column, pattern: str, by: str) -> Column:
@@ -101,7 +103,7 @@ _FENCE_WHOLE = r"[ \t]{0,3}(?:```|~~~).*"
 
 def _structure(text: Column) -> Column:
     """The working copy with fences, headings, list items and blank lines cut out."""
-    t = F.translate(text, CUT + DOT + MARK + HELD + LINE + HEAD, "xxxxxx")  # private-use characters of the text itself
+    t = F.translate(text, CUT + DOT + MARK + HELD + LINE + HEAD + POINT, "xxxxxxx")  # private-use characters of the text itself
     t = F.concat(_sub(_sub(t, "\r(?=\n)", " "), "\r", "\n"), F.lit("\n"))
 
     fenced = F.regexp_extract_all(t, F.lit(f"{_FENCE}|[^\n]++|\n"), F.lit(0))
@@ -128,29 +130,32 @@ def _structure(text: Column) -> Column:
     return _sub(t, rf"\n(?={marked})", CUT)
 
 
+def _after(words: str, more: str = "") -> str:
+    """A dot right after one of the words. It begins with the dot, so that other characters are passed quickly."""
+    return rf"\.(?<={_NO_LETTER}(?:{words})\.){more}"
+
+
 def _masked(t: Column) -> Column:
     """The copy with dots that end nothing masked, and terminators inside quotes and brackets held."""
-    for p in PAIRS_NEVER:
-        a, b = p.split("|")
-        t = _sub(t, rf"{_NO_LETTER}({a})\.({_S}{b})\.(?={_S})", f"$1{DOT}$2{DOT}")
-    for p in PAIRS:
-        a, b = p.split("|")
-        t = _sub(t, rf"{_NO_LETTER}({a})\.(?={_S}{b}\.)", f"$1{DOT}")
+    pairs = [p.split("|") for p in PAIRS_NEVER]
+    first = "|".join(rf"(?<={_NO_LETTER}{a}\.)(?={_S}{b}\.)" for a, b in [*pairs, *(p.split("|") for p in PAIRS)])
+    t = _sub(t, rf"\.(?:{first})", DOT)
+    t = _sub(t, _after("|".join(f"{a}{DOT}{_S}{b}" for a, b in pairs), f"(?={_S})"), DOT)
     never = [*NEVER, *(w[0].upper() + w[1:] for w in NEVER)]
-    t = _sub(t, rf"{_NO_LETTER}({_some(never)})\.(?={_S})", f"$1{DOT}")
-    t = _sub(t, rf"{_NO_LETTER}(Sr)\.(?={_S}+\p{{Lu}})", f"$1{DOT}")
-    t = _sub(t, rf"{_NO_LETTER}({_some(BEFORE_NUMBER)})\.(?={_S}+\d)", f"$1{DOT}")
+    t = _sub(t, _after(_some(never), f"(?={_S})"), DOT)
+    t = _sub(t, _after("Sr", rf"(?={_S}+\p{{Lu}})"), DOT)
+    t = _sub(t, _after(_some(BEFORE_NUMBER), rf"(?={_S}+\d)"), DOT)
     begins = rf"(?:[{OPENERS}]|{_S})*+(?:[\p{{Lu}}\p{{Lt}}¿¡]|{_IDENTIFIER}|[\p{{Lo}}&&[^\p{{IsArabic}}]])"
-    t = _sub(t, rf"{_NO_LETTER}({_some(PERHAPS)})\.(?={_S}++(?!{begins})[^{CUT}])", f"$1{DOT}")
-    t = _sub(t, rf"{_NO_LETTER}([\p{{Lu}}\p{{Lo}}]\p{{M}}?)\.(?={_S}+[\p{{L}}])", f"$1{DOT}")  # initials
-    t = _sub(t, rf"(?<=\d)\.(?={_S}+(?:{_some(AFTER_ORDINAL)})(?![\p{{L}}]))", DOT)
+    t = _sub(t, _after(_some(PERHAPS), f"(?={_S}++(?!{begins})[^{CUT}])"), DOT)
+    t = _sub(t, _after(r"[\p{Lu}\p{Lo}]\p{M}?", rf"(?={_S}+[\p{{L}}])"), DOT)  # initials
+    t = _sub(t, rf"\.(?<=\d\.)(?={_S}+(?:{_some(AFTER_ORDINAL)})(?![\p{{L}}]))", DOT)
     t = _sub(t, rf"\.(?=[^\s{CUT}.!?…{CLOSERS}{SPACES}])", DOT)  # decimals, versions, URLs, file names
-    return _spans(t, _HELD, _FREE, lambda p: _thai(_hold(p, _TERMINATORS), HELD))
+    return _spans(t, lambda p: _thai(_hold(p, _TERMINATORS), HELD))
 
 
 def _thai(t: Column, by: str) -> Column:
     thai = "[ก-ฺเ-๎]"
-    return _sub(t, rf"(?<={thai})[ \t\xa0](?=[ \t\xa0]*+{thai})", by)
+    return _sub(t, rf"[ \t\xa0](?<={thai}.)(?=[ \t\xa0]*+{thai})", by)
 
 
 def _cuts(t: Column) -> Column:
@@ -169,11 +174,14 @@ def _cuts(t: Column) -> Column:
     return _thai(t, CUT)
 
 
-_SPLIT = (
-    rf"(?<={CUT})"
-    rf"|(?<=[{ANYWHERE}][{CLOSERS}!?]{{0,4}})(?![{CLOSERS}{ANYWHERE}!?…])"
-    rf"|(?<=[!?][{CLOSERS}]{{0,4}})(?=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])(?<![{CLOSERS}]{{1,4}})"
-)
+#: A cut that stands for no character: after terminators of scripts without spaces.
+POINT = "\ue006"
+
+
+def _points(t: Column) -> Column:
+    """The copy with a point after each terminator that needs no space, and its closers."""
+    t = _sub(t, rf"([{ANYWHERE}][{CLOSERS}!?]*+)(?![{ANYWHERE}…])", f"$1{POINT}")
+    return _sub(t, rf"([!?])(?=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{POINT}")
 
 
 def units(documents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -187,8 +195,9 @@ def units(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     copy = rows.select(key, "row", _structure(F.col("text")).alias("t"))
     copy = copy.select(key, "row", _masked(F.col("t")).alias("t"))
     copy = copy.select(key, "row", _cuts(F.col("t")).alias("t"))
-    pieces = copy.select(key, "row", F.posexplode(F.split("t", _SPLIT, -1)).alias("i", "p"))
+    pieces = copy.select(key, "row", F.posexplode(F.split(_points(F.col("t")), f"(?<=[{CUT}{POINT}])", -1)).alias("i", "p"))
     blanks = F.lit(SPACES + CUT)
+    pieces = pieces.withColumn("p", F.rtrim(F.col("p"), F.lit(POINT)))
     left = F.length(F.ltrim(F.col("p"), blanks))
     sizes = pieces.select(
         key, "row", "i", F.length("p").alias("n"), (F.length("p") - left).alias("lead"), F.length(F.trim(F.col("p"), blanks)).alias("size")
