@@ -8,7 +8,6 @@ with the parents of such a range repeated, so that a hot key loads no single tas
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import base_name
+from . import imports
+
 #: Ranges of the hash space; one row each comes to the driver, as the references' histogram.
 RANGES = 256
 #: References of one range beyond which it is split.
 SPLIT_ROWS = 400_000
-#: Paths of one repository that share a block of sorted suffixes.
-BLOCK_PATHS = 4096
 
 _FOREVER = (1 << 63) - 1
 
@@ -133,12 +133,6 @@ def probe(refs: DataFrame, parents: DataFrame, keep: list[str], ranges: int = RA
     return both.repartition("piece").sortWithinPartitions("piece", "is_ref").mapInArrow(_probe_task(keep), out)
 
 
-def base_name(c: Column) -> Column:
-    """What follows the last '.' of the trimmed text, unless that is its last character."""
-    t = F.trim(c)
-    return F.when(F.contains(t, F.lit(".")) & ~F.endswith(t, F.lit(".")), F.substring_index(t, ".", -1)).otherwise(t)
-
-
 def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -194,57 +188,6 @@ def call_orphans(symbols: DataFrame, shared: DataFrame) -> DataFrame:
     return calls.join(missed, ["file", "ref_value"]).select(F.lit("symbols").alias("ref_table"), "ref_id", F.lit("calls").alias("ref_field"), "ref_value", "period").distinct()
 
 
-class _Paths:
-    """Sorted suffixes of a block of paths, and their directories' names."""
-
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-        ends = sorted((p[i:], k) for k, p in enumerate(paths) for i in range(len(p)))
-        self.suffix = [s for s, _ in ends]
-        self.owner = [k for _, k in ends]
-        self.dirs: dict[str, set[int]] = {}
-        for k, p in enumerate(paths):
-            parts = p.rsplit("/", 2)
-            held = self.dirs.setdefault("." if len(parts) == 1 else parts[-2] or "/", set())
-            if len(held) < 2:
-                held.add(k)
-
-    def matches(self, imp: str) -> set[int]:
-        """Up to two of the paths that the import text matches: one may be the importing file itself."""
-        x = imp.removeprefix("./")
-        if not x:
-            return set(range(min(2, len(self.paths))))
-        found: set[int] = set()
-        for i in range(len(imp)):
-            found |= self.dirs.get(imp[i:], set())
-        at = bisect_left(self.suffix, x)
-        while len(found) < 2 and at < len(self.suffix) and self.suffix[at].startswith(x):
-            found.add(self.owner[at])
-            at += 1
-        return found
-
-
-def _import_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    current, paths, index = None, [], None
-    for b in batches:
-        repos, texts, n, one = [], [], [], []
-        for repo, block, ref, text in zip(*(b.column(c).to_pylist() for c in ("repo", "block", "is_ref", "text"))):
-            if (repo, block) != current:
-                current, paths, index = (repo, block), [], None
-            if not ref:
-                paths.append(text)
-                continue
-            index = index or _Paths(paths)
-            hit = index.matches(text)
-            repos.append(repo)
-            texts.append(text)
-            n.append(len(hit))
-            one.append(min((paths[k] for k in hit), default=None))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(repos, pa.string()), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(one, pa.string())], names=["repo", "text", "n", "one"]
-        )
-
-
 def import_orphans(symbols: DataFrame, files: DataFrame, shared: DataFrame) -> DataFrame:
     """Imports that are no shared import name and match no other file of the repository.
 
@@ -260,14 +203,9 @@ def import_orphans(symbols: DataFrame, files: DataFrame, shared: DataFrame) -> D
     known = shared.where("import_name is not null")
     left = probe(refs, _always(known, F.col("import_name")), ["repo", "text"]).where("not hit").drop("hit")
 
-    there = files.where("rel_path is not null").select(F.col("rel_path").alias("text")).distinct().withColumn("repo", _repo("text"))
-    there = there.join(left.select("repo").distinct(), "repo", "left_semi")
-    blocks = there.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PATHS).cast("int").alias("blocks"))
-    paths = there.join(blocks, "repo").select("repo", F.pmod(F.xxhash64("text"), "blocks").cast("int").alias("block"), F.lit(0).alias("is_ref"), "text")
-    asked = left.join(blocks, "repo").select("repo", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("is_ref"), "text")
-    found = paths.unionByName(asked).repartition("repo", "block").sortWithinPartitions("repo", "block", "is_ref")
-    found = found.mapInArrow(_import_task, "repo string, text string, n bigint, one string")
-    found = found.groupBy("repo", "text").agg(F.sum("n").alias("n"), F.min("one").alias("one")).where("n > 0")
+    there = files.where("rel_path is not null").select(F.col("rel_path").alias("path")).distinct().withColumn("repo", _repo("path"))
+    found = imports.matches(left, there, 2)
+    found = found.groupBy("repo", "text").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("one"))
 
     missed = left.join(found, ["repo", "text"], "left").where("n is null or n = 1").select("repo", F.col("text").alias("ref_value"), "one")
     cases = uses.join(missed, ["repo", "ref_value"]).where("one is null or one = file")
