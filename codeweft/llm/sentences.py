@@ -76,14 +76,15 @@ _HELD = "|".join(
         rf"`[^`\n{CUT}]{{1,300}}+`",
     ]
 )
-_FREE = r"[^(（\[【「『《„“«»‹‘\"'`]++"
-_OPENS = r"\A[(（\[【「『《„“«»‹‘\"'`]"
+#: Text between such stretches; plain characters by themselves, since small classes are matched faster.
+_FREE = r"[\t-!#-&*-Z\\\]-_a-~]++|[^(（\[【「『《„“«»‹‘\"'`]++"
+_OPENS = "(（[【「『《„“«»‹‘\"'`"
 
 
 def _spans(c: Column, change) -> Column:
     """c with change() applied to each quoted or bracketed stretch; lengths stay."""
     pieces = F.regexp_extract_all(c, F.lit(f"(?s)(?:{_HELD})|{_FREE}|."), F.lit(0))
-    held = lambda p: (F.length(p) > 1) & F.rlike(p, F.lit(_OPENS))
+    held = lambda p: (F.length(p) > 1) & (F.instr(F.lit(_OPENS), F.substring(p, 1, 1)) > 0)
     return F.array_join(F.transform(pieces, lambda p: F.when(held(p), change(p)).otherwise(p)), "")
 
 
@@ -162,10 +163,10 @@ def _cuts(t: Column) -> Column:
     """The masked copy with a cut in the white space after each sentence."""
     upper = rf"[\p{{Lu}}\p{{Lt}}¿¡]"
     lower_after_dash = rf"(?!{_S}*[—–-]{_S}?\p{{Ll}})"
-    greek = r"(?<=[Ͱ-Ͽἀ-῿][^;.!…" + CUT + r"]{0,80})[;;](?=\s|" + CUT + ")"
+    greek = "[;\u037e](?<=[\u0370-\u03ff\u1f00-\u1fff][^;.!…" + CUT + "]{0,80}.)(?=\\s|" + CUT + ")"
     t = _sub(t, greek, "?")
     # a plain terminator ends a sentence whatever follows, but for a dash with a small letter
-    t = _sub(t, rf"((?<![.…‥])[.]|[.…‥]*[!?]+[.!?…]*)([{CLOSERS}]*+){lower_after_dash}{_S}(?!{_S}*[»])", f"$1$2{CUT}")
+    t = _sub(t, rf"(\.(?<![.…‥]\.)|[.…‥]*+[!?]+[.!?…]*)([{CLOSERS}]*+){lower_after_dash}{_S}(?!{_S}*[»])", f"$1$2{CUT}")
     # dots of an ellipsis only if a capital follows
     t = _sub(t, rf"([.…‥]{{2,}}|[…‥])([{CLOSERS}]*+){_S}(?={_S}*[{OPENERS}]*{upper})", f"$1$2{CUT}")
     # a quotation or bracket that ends with a terminator, if what follows begins a sentence
