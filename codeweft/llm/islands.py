@@ -41,7 +41,7 @@ _INLINE_DOC = re.compile(r"\s*/\*\*(?!/)(.*?)\*/\s*(?=\S)")
 def _strip_block(text: str) -> str:
     """A block comment without its frame."""
     body = re.sub(r"\A\s*/\*+!?|\*+/\s*\Z", "", text)
-    return "\n".join(re.sub(r"^\s*\*(?!\*+\s*$) ?", "", line).rstrip() for line in body.split("\n")).strip("\n")
+    return "\n".join(re.sub(r"^\s*\*(?!\*+\s*$) ?", "", line).rstrip() for line in body.split("\n")).strip()
 
 
 def _doc_above(lines: list[str], at: int, grammar: str) -> str | None:
@@ -158,7 +158,7 @@ def _python_doc(lines: list[str], at: int) -> str | None:
     end = rest.find(quote)
     if end < 0:
         return None
-    return "\n".join(x.strip() for x in rest[:end].split("\n")).strip("\n")
+    return "\n".join(x.strip() for x in rest[:end].split("\n")).strip()
 
 
 def functions(path: str, content: str) -> Iterator[tuple[int, str, str, str, str]]:

@@ -116,6 +116,7 @@ def _structure(text: Column) -> Column:
     line = F.regexp_extract_all(t, F.lit("[^\n]++|\n"), F.lit(0))
     t = F.array_join(F.transform(line, lambda p: F.when(F.rlike(p, F.lit(rf"(?s)\A{heads}\z")), F.concat(F.lit(HEAD), F.substring(_hold(p, _TERMINATORS), 2, 2**31 - 1))).otherwise(p)), "")
     t = _sub(t, r"(?<![^\n])([^\n" + HEAD + r"]+)\n([ \t]*(?:={3,}|-{3,})[ \t]*)(?=\n)", f"$1{LINE}$2")  # underlined heading
+    t = _sub(t, rf"[{_TERMINATORS}](?=[^\n{CUT}{HEAD}{LINE}]{{0,200}}{LINE}[ \t=-]*+\n)", HELD)
     t = _sub(t, rf"(?<![^\n])({HEAD}[^\n]*+)\n", f"$1{CUT}")
     t = _sub(t, rf"\n(?={HEAD})", CUT)
     t = _sub(t, rf"\n(?={_BLANK}*+\n)", CUT)
