@@ -55,37 +55,48 @@ _BLANK = "[" + SPACES.replace("\n", "") + "]"
 #: A word that is an identifier: snake or camel case, a call or a file name.
 _IDENTIFIER = r"[\p{Ll}\p{N}]+(?:_[\p{L}\p{N}]|\p{Lu}|\()|[\p{Ll}\p{N}]+\.[a-z]{1,4}\b"
 _NO_LETTER = r"(?<![\p{L}\p{M}\p{N}])"
-#: Quoted or bracketed stretches of one unit; brackets may nest once. Fixed patterns.
+#: Characters that open a quoted or bracketed stretch. While such stretches are sought they stand as a
+#: contiguous range of placeholders, since a class of many single characters is matched slowly.
+_MARKS = "(（[【「『《„“«»‹‘\"'`"
+_RANGE = "".join(chr(0xE010 + i) for i in range(len(_MARKS)))
+_M = dict(zip(_MARKS, _RANGE))
+
+
+def _stretch(opens: str, closes: str, most: int, inside: str = "", least: int = 0) -> str:
+    """From one mark to the other without either between."""
+    return f"{opens}[^{opens}{closes}{inside}{CUT}]{{{least},{most}}}+{closes}"
+
+
+_ROUND = f"[^{_M['(']}){CUT}]"
+#: Quoted or bracketed stretches of one unit; round and corner brackets may nest once. Fixed patterns.
 _HELD = "|".join(
     [
-        rf"\([^(){CUT}]{{0,600}}+(?:\([^(){CUT}]{{0,300}}+\)[^(){CUT}]{{0,600}}+){{0,20}}+\)",
-        rf"（[^（）{CUT}]{{0,600}}+）",
-        rf"\[[^\[\]{CUT}]{{0,600}}+\]",
-        rf"【[^【】{CUT}]{{0,600}}+】",
-        rf"「[^「」{CUT}]{{0,600}}+(?:「[^「」{CUT}]{{0,600}}+」[^「」{CUT}]{{0,600}}+)?」",
-        rf"『[^『』{CUT}]{{0,600}}+』",
-        rf"《[^《》{CUT}]{{0,600}}+》",
-        rf"„[^„“”{CUT}]{{0,800}}+[“”]",
-        rf"“[^“”{CUT}]{{0,800}}+”",
-        rf"«[^«»{CUT}]{{0,800}}+»",
-        rf"»[^«»{CUT}]{{0,800}}+«",
-        rf"‹[^‹›{CUT}]{{0,800}}+›",
-        rf"‘[^‘’{CUT}]{{0,400}}+’(?!\p{{L}})",
-        rf"\"[^\"{CUT}]{{1,800}}+\"",
-        rf"(?<![\p{{L}}\p{{N}}])'(?! )[^'\n{CUT}]{{1,200}}+'(?![\p{{L}}\p{{N}}])",
-        rf"`[^`\n{CUT}]{{1,300}}+`",
+        rf"{_M['(']}{_ROUND}{{0,600}}+(?:{_M['(']}{_ROUND}{{0,300}}+\){_ROUND}{{0,600}}+){{0,20}}+\)",
+        _stretch(_M["（"], "）", 600),
+        _stretch(_M["["], "\\]", 600),
+        _stretch(_M["【"], "】", 600),
+        rf"{_M['「']}[^{_M['「']}」{CUT}]{{0,600}}+(?:{_M['「']}[^{_M['「']}」{CUT}]{{0,600}}+」[^{_M['「']}」{CUT}]{{0,600}}+)?」",
+        _stretch(_M["『"], "』", 600),
+        _stretch(_M["《"], "》", 600),
+        rf"{_M['„']}[^{_M['„']}{_M['“']}”{CUT}]{{0,800}}+[{_M['“']}”]",
+        _stretch(_M["“"], "”", 800),
+        _stretch(_M["«"], _M["»"], 800),
+        _stretch(_M["»"], _M["«"], 800),
+        _stretch(_M["‹"], "›", 800),
+        _stretch(_M["‘"], "’", 400) + r"(?!\p{L})",
+        _stretch(_M['"'], _M['"'], 800, least=1),
+        rf"(?<![\p{{L}}\p{{N}}]){_M["'"]}(?! )[^{_M["'"]}\n{CUT}]{{1,200}}+{_M["'"]}(?![\p{{L}}\p{{N}}])",
+        _stretch(_M["`"], _M["`"], 300, "\n", 1),
     ]
 )
-#: Text between such stretches; plain characters by themselves, since small classes are matched faster.
-_FREE = r"[\t-!#-&*-Z\\\]-_a-~]++|[^(（\[【「『《„“«»‹‘\"'`]++"
-_OPENS = "(（[【「『《„“«»‹‘\"'`"
+_FREE = f"[^{_RANGE[0]}-{_RANGE[-1]}]++"
 
 
 def _spans(c: Column, change) -> Column:
     """c with change() applied to each quoted or bracketed stretch; lengths stay."""
-    pieces = F.regexp_extract_all(c, F.lit(f"(?s)(?:{_HELD})|{_FREE}|."), F.lit(0))
-    held = lambda p: (F.length(p) > 1) & (F.instr(F.lit(_OPENS), F.substring(p, 1, 1)) > 0)
-    return F.array_join(F.transform(pieces, lambda p: F.when(held(p), change(p)).otherwise(p)), "")
+    pieces = F.regexp_extract_all(F.translate(c, _MARKS, _RANGE), F.lit(f"(?s){_FREE}|(?:{_HELD})|."), F.lit(0))
+    held = lambda p: (F.length(p) > 1) & (F.instr(F.lit(_RANGE), F.substring(p, 1, 1)) > 0)
+    return F.translate(F.array_join(F.transform(pieces, lambda p: F.when(held(p), change(p)).otherwise(p)), ""), _RANGE, _MARKS)
 
 
 def _sub(c: Column, pattern: str, by: str) -> Column:
@@ -102,9 +113,13 @@ _FENCE = r"(?<![^\n])[ \t]{0,3}(```+|~~~+)[^\n]*+(?:\n(?![ \t]{0,3}\1[`~]*[ \t]*
 _FENCE_WHOLE = r"[ \t]{0,3}(?:```|~~~).*"
 
 
+#: Private-use characters of a text itself are no placeholders.
+_PRIVATE = "".join(map(chr, range(0xE000, 0xE020)))
+
+
 def _structure(text: Column) -> Column:
     """The working copy with fences, headings, list items and blank lines cut out."""
-    t = F.translate(text, CUT + DOT + MARK + HELD + LINE + HEAD + POINT, "xxxxxxx")  # private-use characters of the text itself
+    t = F.translate(text, _PRIVATE, "x" * len(_PRIVATE))  # private-use characters of the text itself
     t = F.concat(_sub(_sub(t, "\r(?=\n)", " "), "\r", "\n"), F.lit("\n"))
 
     fenced = F.regexp_extract_all(t, F.lit(f"{_FENCE}|[^\n]++|\n"), F.lit(0))
@@ -115,20 +130,20 @@ def _structure(text: Column) -> Column:
     heads = rf"[ \t]{{0,3}}#{{1,6}}[ \t][^\n]*+"
     line = F.regexp_extract_all(t, F.lit("[^\n]++|\n"), F.lit(0))
     t = F.array_join(F.transform(line, lambda p: F.when(F.rlike(p, F.lit(rf"(?s)\A{heads}\z")), F.concat(F.lit(HEAD), F.substring(_hold(p, _TERMINATORS), 2, 2**31 - 1))).otherwise(p)), "")
-    t = _sub(t, r"(?<![^\n])([^\n" + HEAD + r"]+)\n([ \t]*(?:={3,}|-{3,})[ \t]*)(?=\n)", f"$1{LINE}$2")  # underlined heading
+    t = _sub(t, rf"\n(?=[ \t]*(?:={{3,}}|-{{3,}})[ \t]*\n)(?<=(?:\A|\n)[^\n{HEAD}][^\n]{{0,200}}\n)", LINE)  # underlined heading
     t = _sub(t, rf"[{_TERMINATORS}](?=[^\n{CUT}{HEAD}{LINE}]{{0,200}}{LINE}[ \t=-]*+\n)", HELD)
-    t = _sub(t, rf"(?<![^\n])({HEAD}[^\n]*+)\n", f"$1{CUT}")
+    t = _sub(t, rf"({HEAD}[^\n]*+)\n", f"$1{CUT}")
     t = _sub(t, rf"\n(?={HEAD})", CUT)
     t = _sub(t, rf"\n(?={_BLANK}*+\n)", CUT)
     t = _sub(t, rf"\n(?={_BLANK}*+{CUT})", CUT)
 
     # list items: bullets anywhere, numbers after a cut, another item or as 1.
-    start = rf"(?<![^\n{CUT}])[ \t]*+"
-    t = _sub(t, rf"({start})[-*+•‣◦▪](?=[ \t]+[^\n{CUT}])", f"$1{MARK}")
+    bullet = "(?=[*+\u2022-\u25e6-])[-*+•‣◦▪]"
+    t = _sub(t, rf"{bullet}(?<=(?:\A|[\n{CUT}])[ \t]{{0,40}}.)(?=[ \t]+[^\n{CUT}])", MARK)
     marked = rf"[ \t]*+\(?\d{{0,3}}{MARK}"
-    t = _sub(t, rf"(?<![^\n{CUT}])({marked}[^\n{CUT}]*+)\n", f"$1{CUT}")
+    t = _sub(t, rf"({MARK}[^\n{CUT}]*+)\n", f"$1{CUT}")
     t = _sub(t, rf"((?:\G|(?<={CUT})|\A|(?<![^\n{CUT}])(?=[ \t]*+\(?1[.)]))[ \t]*+\(?\d{{1,3}})[.)](?![ \t]+(?:{_some(AFTER_ORDINAL)})(?!\p{{L}}))([ \t]+[^\n{CUT}]*+[\n{CUT}])", f"$1{MARK}$2")
-    t = _sub(t, rf"(?<![^\n{CUT}])({marked}[^\n{CUT}]*+)\n", f"$1{CUT}")
+    t = _sub(t, rf"({MARK}[^\n{CUT}]*+)\n", f"$1{CUT}")
     return _sub(t, rf"\n(?={marked})", CUT)
 
 
@@ -167,9 +182,9 @@ def _cuts(t: Column) -> Column:
     greek = "[;\u037e](?<=[\u0370-\u03ff\u1f00-\u1fff][^;.!…" + CUT + "]{0,80}.)(?=\\s|" + CUT + ")"
     t = _sub(t, greek, "?")
     # a plain terminator ends a sentence whatever follows, but for a dash with a small letter
-    t = _sub(t, rf"(\.(?<![.…‥]\.)|[.…‥]*+[!?]+[.!?…]*)([{CLOSERS}]*+){lower_after_dash}{_S}(?!{_S}*[»])", f"$1$2{CUT}")
+    t = _sub(t, rf"(\.(?<![.\u2025-\u2026]\.)|[.\u2025-\u2026]*+[!?]+[.!?…]*)([{CLOSERS}]*+){lower_after_dash}{_S}(?!{_S}*[»])", f"$1$2{CUT}")
     # dots of an ellipsis only if a capital follows
-    t = _sub(t, rf"([.…‥]{{2,}}|[…‥])([{CLOSERS}]*+){_S}(?={_S}*[{OPENERS}]*{upper})", f"$1$2{CUT}")
+    t = _sub(t, rf"([.\u2025-\u2026]{{2,}}|[\u2025-\u2026])([{CLOSERS}]*+){_S}(?={_S}*[{OPENERS}]*{upper})", f"$1$2{CUT}")
     # a quotation or bracket that ends with a terminator, if what follows begins a sentence
     quote = rf"({HELD}{_S}?[{CLOSERS}]++){_S}"
     t = _sub(t, rf"{quote}(?={_S}*(?:[{OPENERS}]*+(?:{upper}|\p{{N}}|{_IDENTIFIER})|[\"“„«—(\[]{_S}?[\p{{L}}\p{{N}}]))", f"$1{CUT}")
@@ -182,7 +197,7 @@ POINT = "\ue006"
 
 def _points(t: Column) -> Column:
     """The copy with a point after each terminator that needs no space, and its closers."""
-    t = _sub(t, rf"([{ANYWHERE}][{CLOSERS}!?]*+)(?![{ANYWHERE}…])", f"$1{POINT}")
+    t = _sub(t, rf"(?=[\u0589-\uff61])([{ANYWHERE}][{CLOSERS}!?]*+)(?![{ANYWHERE}…])", f"$1{POINT}")
     return _sub(t, rf"([!?])(?=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{POINT}")
 
 
