@@ -78,8 +78,8 @@ _CALLS = f"""with {_S}, own as (select file_path, name, qualified_name, ordinal,
 c0 as (select file_path, repo, id as src, trim(unnest(calls)) as c from own), c as (select *, {_X5.format("c")} as b from c0 where c <> ''),
 k as (select file_path, key, arg_max(name, ordinal) as name from (select file_path, name as key, name, ordinal from own union all select file_path, qualified_name, name, ordinal from own where qualified_name <> name) group by all),
 t as (select c.*, coalesce(w.name, x.name) as hit from c left join k w on w.file_path = c.file_path and w.key = c.c left join k x on x.file_path = c.file_path and x.key = c.b)
-select src, 'sym:' || file_path || '::' || hit as dst, 'CALLS' as type, 2.0 as weight from t where hit is not null
-union all select t.src, o.id, 'CALLS', 1.0 from t join own o on o.repo = t.repo and o.name = t.b where t.hit is null and o.id <> t.src"""
+select src, 'sym:' || file_path || '::' || hit as dst, 'CALLS' as type, 2.0::double as weight from t where hit is not null
+union all select t.src, o.id, 'CALLS', 1.0::double from t join own o on o.repo = t.repo and o.name = t.b where t.hit is null and o.id <> t.src"""
 _DELIVERED = """d as (select s, q, max(struct_pack(l := loaded_at, c := lower(checksum), z := size, t := mtime_ns)) as m
   from (select snapshot_no as s, regexp_replace(replace(rel_path, '\\', '/'), '^(\\./|/)+', '') as q, * from file_cache) group by s, q),
 cl as (select coalesce(a.s, b.s + 1) as snapshot_no, coalesce(a.q, b.q) as rel_path, case when a.q is null then 'deleted' when b.q is null then 'added'
@@ -161,14 +161,14 @@ from sv group by file_path, name union all select distinct 'file:' || file_path,
     "search_scores": _score(),
     "skeletons": f"""with {_S}, x as (select symbol_id, coalesce('/* ' || nullif(documentation, '') || e' */\\n', '') as d, signature, body from sv)
 select symbol_id, {_estimate("coalesce(d || signature, '')")} as skel, case when coalesce(body, '') <> '' then {_estimate("coalesce(d || signature || e' {\\n' || body || e'\\n}', '')")} end as full_cost from x""",
-    "defines_edges": f"with {_S} select 'file:' || file_path as src, 'sym:' || file_path || '::' || name as dst, 'DEFINES' as type, 1.0 as weight from sv",
+    "defines_edges": f"with {_S} select 'file:' || file_path as src, 'sym:' || file_path || '::' || name as dst, 'DEFINES' as type, 1.0::double as weight from sv",
     "import_edges": f"""with {_F}, i as (select file_path, split_part(file_path, '/', 1) as repo, unnest(arg_min(imports, symbol_id)) as imp from symbols where imports is not null group by file_path),
 g as (select distinct file_path as path, split_part(file_path, '/', 1) as repo from fv)
-select 'file:' || i.file_path as src, 'file:' || g.path as dst, 'IMPORTS' as type, 1.0 as weight from i join g on g.repo = i.repo and g.path <> i.file_path
+select 'file:' || i.file_path as src, 'file:' || g.path as dst, 'IMPORTS' as type, 1.0::double as weight from i join g on g.repo = i.repo and g.path <> i.file_path
 where ends_with(path, imp) or contains(path, case when starts_with(imp, './') then substr(imp, 3) else imp end) or ends_with(imp, case when contains(path, '/') then split_part(path, '/', -2) else '.' end)""",
     "call_edges": _CALLS,
     "implements_edges": f"""with {_S}, own as (select *, split_part(file_path, '/', 1) as repo, 'sym:' || file_path || '::' || name as id from sv), a as (select id as src, repo, unnest(implements) as b from own)
-select a.src, own.id as dst, 'IMPLEMENTS' as type, 1.5 as weight from a join own on own.repo = a.repo and own.name = a.b""",
+select a.src, own.id as dst, 'IMPLEMENTS' as type, 1.5::double as weight from a join own on own.repo = a.repo and own.name = a.b""",
     "incremental_classify": f"with {_DELIVERED} select * from cl",
     "incremental_stats": f"with {_DELIVERED} select count(*) filter (status <> 'deleted') as discovered, count(*) filter (status = 'added') as added, count(*) filter (status = 'modified') as modified, count(*) filter (status = 'deleted') as deleted, count(*) filter (status = 'cached') as cached from cl",
     "watch_bursts": """with e as (select cast(user_id as varchar) as repo_id, event_type as path, ts from events where user_id is not null and event_type is not null and ts is not null),

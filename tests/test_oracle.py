@@ -18,7 +18,7 @@ def _plain(v):
 
 def _rows(records, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple(_plain(r[i]) for i in order) for r in records)
+    return sorted((tuple(_plain(r[i]) for i in order) for r in records), key=repr)
 
 
 @pytest.fixture(scope="module")
