@@ -134,7 +134,9 @@ def probe(refs: DataFrame, parents: DataFrame, keep: list[str], ranges: int = RA
 
 
 def _micros(c: str) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+    """Microseconds of a wall-clock time, whatever the session's time zone."""
+    second = f"cast(extract(second from `{c}`) * 1000000 as bigint)"
+    return F.expr(f"unix_date(cast(`{c}` as date)) * 86400000000 + (hour(`{c}`) * 60L + minute(`{c}`)) * 60000000L + {second}")
 
 
 def _always(df: DataFrame, key: Column) -> DataFrame:
