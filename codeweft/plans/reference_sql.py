@@ -43,13 +43,13 @@ def _pagerank(iterations: int, seeded: bool) -> str:
     seed = "case when id in (select id from hit) then 1.0 / (select count(*) from hit) else 0.0 end" if seeded else "1.0 / (select count(*) from nv)"
     parts = [
         f"with {_N}, {_E}, {_HIT}, p0 as (select id, {seed} as p from nv)",
-        "e as (select src, dst, sum(weight) as w from ev where src in (select id from nv) group by all)",
+        "e as materialized (select src, dst, sum(weight) as w from ev where src in (select id from nv) group by all)",
         "o as (select src, sum(w) as o from e group by src)",
         "r0 as (select id, p, p as r, id not in (select src from o) as d from p0)",
     ]
     for i in range(iterations):
         parts.append(
-            f"r{i + 1} as (select r.id, r.p, 0.85 * coalesce(m.m, 0) + 0.85 * r.p * (select coalesce(sum(r), 0) from r{i} where d) + 0.15 * r.p as r, r.d "
+            f"r{i + 1} as materialized (select r.id, r.p, 0.85 * coalesce(m.m, 0) + 0.85 * r.p * (select coalesce(sum(r), 0) from r{i} where d) + 0.15 * r.p as r, r.d "
             f"from r{i} r left join (select e.dst as id, sum(r.r * e.w / o.o) as m from e join o on o.src = e.src join r{i} r on r.id = e.src group by e.dst) m on m.id = r.id)"
         )
     return ",\n".join(parts) + f"\nselect id, round(r, 9) as score from r{iterations}"
@@ -95,7 +95,7 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_LINES = f"""li as (select file_path, i as line_no, line, trim(line, e'\\t\\n\\v\\f\\r ') as t from (select file_path, unnest(string_split_regex(content, '\\r?\\n')) as line, generate_subscripts(string_split_regex(content, '\\r?\\n'), 1) as i
+_LINES = f"""li as (select file_path, i as line_no, line, trim(line, e'\\t\\n\\f\\r ' || chr(11)) as t from (select file_path, unnest(string_split_regex(content, '\\r?\\n')) as line, generate_subscripts(string_split_regex(content, '\\r?\\n'), 1) as i
   from (select distinct file_path, content from fv where content is not null and {_EXT.format('file_path')} in ({{0}}))))"""
 
 
@@ -129,6 +129,91 @@ select file_path, cast(row_number() over (partition by file_path order by line_n
   case when rule = 'fn' and contains(t, '{{') then trim(string_split(t, '{{')[1]) else t end as signature, '' as documentation, '' as body, starts_with(t, 'pub') as exported,
   cast(line_no as integer) as start_line, cast(line_no as integer) as end_line, '' as calls, '' as implements from s"""
 
+_BEFORE = "over (partition by file_path order by line_no rows between unbounded preceding and 1 preceding)"
+
+
+def _last(event: str, name: str) -> str:
+    """The last event before each line, '' at first."""
+    return f"coalesce(last_value({event} ignore nulls) {_BEFORE}, '') as {name}"
+
+
+def _held(rules: str) -> str:
+    """CTEs of the annotation lines that wait at each line; lines of the rules do not end the wait."""
+    return f"""b as (select *, coalesce(sum(case when rule in ({rules}) then 0 else 1 end) {_BEFORE}, 0) as bout from c),
+h as (select *, coalesce(string_agg(case when rule = 'held' then t end, e'\\n') over (partition by file_path, bout order by line_no rows between unbounded preceding and current row) || e'\\n', '') as held from b)"""
+
+
+def _is(pattern: str, of: str = "t") -> str:
+    return f"regexp_matches({of}, {_q(pattern)})"
+
+
+def _group(pattern: str, n: int, of: str = "t") -> str:
+    return f"regexp_extract({of}, {_q(pattern)}, {n})"
+
+
+def _listed(*lists: str) -> str:
+    """The trimmed parts of comma-separated lists, joined."""
+    return "array_to_string(list_filter(list_transform(string_split(concat_ws(',', " + ", ".join(lists) + "), ','), lambda x: trim(x)), lambda x: x <> ''), '|')"
+
+
+def _in(words: list[str]) -> str:
+    return ", ".join(_q(w) for w in words)
+
+
+def _rows(language: str, qualified: str, kind: str, signature: str, exported: str, calls: str, implements: str) -> str:
+    return f"""select file_path, cast(row_number() over (partition by file_path order by line_no) - 1 as integer) as ordinal, name, {qualified} as qualified_name, {kind} as kind, '{language}' as language,
+  {signature} as signature, '' as documentation, '' as body, {exported} as exported, cast(line_no as integer) as start_line, cast(line_no as integer) as end_line, {calls} as calls, {implements} as implements from s"""
+
+
+_HEAD = "case when contains(t, '{') then trim(string_split(t, '{')[1]) else t end"
+_TS_HEADS = {"arrow": p.TS_ARROW, "function": p.TS_FUNCTION, "class": p.TS_CLASS, "interface": p.TS_INTERFACE, "type": p.TS_TYPE, "enum": p.TS_ENUM}
+_TYPESCRIPT = f"""with {_F}, {_LINES.format("'ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'")},
+r as (select *, case {" ".join(f"when {_is(x)} then '{k}'" for k, x in _TS_HEADS.items())} when not (starts_with(line, ' ') or starts_with(line, e'\\t')) then 'close'
+  when (starts_with(line, '  ') or starts_with(line, e'\\t')) and {_is(p.TS_METHOD)} then 'method' end as rule from li where t <> '' and not starts_with(t, '//') and not starts_with(t, '/*')),
+c as (select *, {_last(f"case rule when 'class' then {_group(p.TS_CLASS, 1)} when 'close' then '' end", "ctx")} from r),
+s as (select * from (select *, case rule {" ".join(f"when '{k}' then {_group(x, 1)}" for k, x in _TS_HEADS.items())} else {_group(p.TS_METHOD, 1)} end as name from c where rule <> 'close')
+  where rule <> 'method' or (ctx <> '' and name not in ({_in(p.TS_NO_METHOD)})))
+""" + _rows(
+    "typescript", "case when rule = 'method' then ctx || '.' || name else name end", "case when rule in ('arrow', 'function') then 'function' when rule = 'enum' then 'type' else rule end",
+    f"case when rule = 'arrow' then trim(string_split(t, '=>')[1] || '=>') when rule in ('function', 'method') then {_HEAD} else t end",
+    "case when rule = 'method' then not starts_with(name, '_') and not starts_with(name, '#') else starts_with(t, 'export') end",
+    f"case when rule in ('arrow', 'function', 'method') then {_kept(f'regexp_extract_all(line, {_q(p._DOTTED_CALL)}, 1)', p.TS_NO_CALL)} else '' end",
+    f"case when rule = 'class' then {_listed(_group(p.TS_CLASS, 2), _group(p.TS_CLASS, 3))} else '' end",
+)
+_JAVA = f"""with {_F}, {_LINES.format("'java'")},
+r as (select *, case when {_is(p.JAVA_PACKAGE)} then 'package' when {_is(p.JAVA_IMPORT)} then 'import' when {_is(p.JAVA_ANNOTATION)} then 'held' when {_is(p.JAVA_TYPE)} then 'type'
+  when {_is(p.JAVA_CONSTRUCTOR)} or {_is(p.JAVA_METHOD)} then 'member' end as rule from li where t <> '' and not starts_with(t, '//') and not starts_with(t, '/*') and not starts_with(t, '*')),
+c as (select *, {_last(f"case when rule = 'type' then {_group(p.JAVA_TYPE, 2)} end", "ctx")}, {_last(f"case when rule = 'package' then {_group(p.JAVA_PACKAGE, 1)} end", "package")} from r),
+{_held("'held', 'package', 'import'")},
+m as (select *, rule = 'member' and ctx <> '' and (starts_with(line, '  ') or starts_with(line, e'\\t')) and {_group(p.JAVA_CONSTRUCTOR, 1)} = ctx as made from h where rule in ('type', 'member')),
+s as (select * from (select *, case when rule = 'type' then {_group(p.JAVA_TYPE, 2)} when made then ctx else {_group(p.JAVA_METHOD, 2)} end as name from m)
+  where rule = 'type' or made or ({_is(p.JAVA_METHOD)} and name not in ({_in(p.JAVA_NO_METHOD)}) and {_group(p.JAVA_METHOD, 1)} not in ({_in(p.JAVA_NO_RESULT)})))
+""" + _rows(
+    "java", "case when rule = 'type' then coalesce(nullif(package, '') || '.', '') || name else coalesce(nullif(ctx, '') || '.', '') || name end",
+    f"case when rule = 'type' then {_group(p.JAVA_TYPE, 1)} else 'method' end", f"held || {_HEAD}", "starts_with(t, 'public')",
+    _kept(f"regexp_extract_all(line, {_q(p._DOTTED_CALL)}, 1)", p.JAVA_NO_CALL), f"case when rule = 'type' then {_listed(_group(p.JAVA_TYPE, 3), _group(p.JAVA_TYPE, 4))} else '' end",
+)
+_PHP_LINES = f"""with {_F}, {_LINES.format("'php'")},
+r as (select *, case when {_is(p.PHP_NAMESPACE)} then 'namespace' when starts_with(t, '#[') then 'held' when {_is(p.PHP_TYPE)} then 'type' when starts_with(t, 'use ') then 'use' when {_is(p.PHP_FUNCTION)} then 'function' end as rule
+  from li where t not in ('', '<?php', '?>') and not starts_with(t, '//') and not starts_with(t, '/*') and not starts_with(t, '*') and not (starts_with(t, '#') and not starts_with(t, '#['))),
+c as (select *, {_last(f"case when rule = 'type' then {_group(p.PHP_TYPE, 2)} when rule = 'function' and not (starts_with(line, ' ') or starts_with(line, e'\\t')) then '' end", "ctx")},
+  {_last(f"case when rule = 'namespace' then {_group(p.PHP_NAMESPACE, 1)} end", "space")} from r)"""
+_PHP = f"""{_PHP_LINES},
+{_held("'held', 'namespace', 'use'")},
+u as (select file_path, line_no, ctx as name, trim(unnest(string_split({_group(p.PHP_TRAIT_USE, 1)}, ','))) as trait from c where rule = 'use' and ctx <> ''),
+tr as (select file_path, name, string_agg(trait, '|' order by line_no, trait) as traits from u where trait <> '' group by all),
+s0 as (select *, case when rule = 'type' then {_group(p.PHP_TYPE, 2)} else {_group(p.PHP_FUNCTION, 1)} end as name from h where rule in ('type', 'function')),
+s as (select s0.*, rule = 'function' and ctx <> '' and (starts_with(line, '  ') or starts_with(line, e'\\t')) as method,
+  case when row_number() over (partition by s0.file_path, s0.name order by s0.line_no) = 1 then traits end as traits from s0 left join tr on tr.file_path = s0.file_path and tr.name = s0.name)
+""" + _rows(
+    "php", "case when rule = 'type' then coalesce(nullif(space, '') || '\\', '') || name when method then ctx || '::' || name else name end",
+    f"case when rule = 'type' then {_group(p.PHP_TYPE, 1)} when method then 'method' else 'function' end", f"held || {_HEAD}", "rule = 'type' or not starts_with(name, '_') or name = '__construct'",
+    _kept(f"regexp_extract_all(line, {_q(p.PHP_CALL)}, 1)", p.PHP_NO_CALL),
+    f"concat_ws('|', nullif(case when rule = 'type' then {_listed(_group(p.PHP_TYPE, 3), _group(p.PHP_TYPE, 4))} end, ''), traits)",
+)
+_PHP_IMPORTS = f"""{_PHP_LINES}, i as (select file_path, line_no, {_group(p.PHP_USE, 1)} as imp from c where rule = 'use' and ctx = '')
+select file_path, cast(row_number() over (partition by file_path order by line_no) - 1 as integer) as pos, imp from i where imp <> ''"""
+
 
 def _imports(ext: str, skipped: str, imp: str) -> str:
     return f"""with {_F}, {_LINES.format(ext)}, x as (select file_path, line_no, {imp} as imp from li where not ({skipped}))
@@ -151,6 +236,7 @@ SQL = {
 select hit.id as target, hit.file_path as defined_in, coalesce(total, 0) as total, coalesce(direct, 0) as direct, coalesce(transitive, 0) as transitive, coalesce(files, 0) as files, coalesce(test_files, 0) as test_files,
   case when total > 10 then 'CRITICAL' when total > 4 then 'HIGH' when total > 0 then 'MEDIUM' else 'LOW' end as risk from hit left join a on a.target = hit.id""",
     "remove_test_files": f"with {_N}, {_E}, g as (select id from nv where {_TEST.format('file_path')}) select type, count(*) as edges from ev where src not in (select id from g) and dst not in (select id from g) group by type",
+    "pagerank": _pagerank(25, True),
     "pagerank_5": _pagerank(5, True),
     "pagerank_uniform_3": _pagerank(3, False),
     "query_tokens": f"with x as (select doc_id, {_tokens("coalesce(text, '')")} as l from documents) select doc_id, array_to_string(list_filter(l, lambda w, i: list_position(l, w) = i), ' ') as tokens from x",
@@ -183,6 +269,10 @@ from source_files where rel_path is not null""",
     "symbol_locations": f"with {_S} select symbol_id, file_path || ':' || start_line || ':' || start_col || '-' || end_line || ':' || end_col as location, start_line > 0 and end_line >= start_line as valid from sv",
     "parse_python": _PYTHON,
     "parse_rust": _RUST,
+    "parse_typescript": _TYPESCRIPT,
+    "parse_java": _JAVA,
+    "parse_php": _PHP,
+    "imports_php": _PHP_IMPORTS,
     "imports_python": _imports("'py'", "t = '' or starts_with(t, '#') or starts_with(t, '@')", f"regexp_extract(line, {_q(p.PYTHON_IMPORT)}, 1) || regexp_extract(line, {_q(p.PYTHON_IMPORT)}, 2)"),
     "imports_typescript": _imports("'ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'", "t = '' or starts_with(t, '//') or starts_with(t, '/*')", f"regexp_extract(line, {_q(p.TS_IMPORT)}, 1) || regexp_extract(line, {_q(p.TS_IMPORT)}, 2)"),
     "imports_java": _imports("'java'", f"t = '' or starts_with(t, '//') or starts_with(t, '/*') or starts_with(t, '*') or regexp_matches(t, {_q(p.JAVA_PACKAGE)})", f"regexp_extract(t, {_q(p.JAVA_IMPORT)}, 1)"),
