@@ -66,13 +66,13 @@ def _words(c: Column) -> Column:
     """Word stems of a text, identifiers split."""
     spread = F.regexp_replace(c, r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})", " ")
     words = F.filter(F.split(F.lower(spread), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(F.length(w) > 3, F.regexp_replace(w, "(?<=..)(?:ies|ied|ing|es|ed|e|y|s)$", "")).otherwise(w))
+    return F.transform(words, lambda w: F.when(F.length(w) > 3, F.regexp_replace(w, "(?<=..)(?:ies|ied|ing|ys|es|ed|e|y|s)$", "")).otherwise(w))
 
 
 def _stem(w: str) -> str:
     import re
 
-    return re.sub("(?<=..)(?:ies|ied|ing|es|ed|e|y|s)$", "", w) if len(w) > 3 else w
+    return re.sub("(?<=..)(?:ies|ied|ing|ys|es|ed|e|y|s)$", "", w) if len(w) > 3 else w
 
 
 def informative(doc: Column, name: Column, signature: Column) -> Column:

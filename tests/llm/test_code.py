@@ -82,6 +82,8 @@ def test_informative(spark):
     df = spark.createDataFrame([(d,) for d in no + yes], "d string").selectExpr("d", "'run' as name", "'func run(x string)' as s")
     got = {r.d: r.ok for r in df.withColumn("ok", docpairs.informative(df.d, df.name, df.s)).collect()}
     assert [d for d in no if got[d]] == [] and [d for d in yes if not got[d]] == []
+    verbs = spark.createDataFrame([("tally_batch", "tally_batch tallys batch."), ("copyPath", "Copies the path."), ("copyPath", "Copies the path lazily.")], "name string, d string")
+    assert [r.ok for r in verbs.select(docpairs.informative(verbs.d, verbs.name, verbs.name).alias("ok")).collect()] == [False, False, True]
 
 
 def test_pairs(spark):
