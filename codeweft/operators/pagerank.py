@@ -44,10 +44,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, damping: floa
     dangling = F.sum(F.when(F.col("dangles"), F.col("rank")))
     rank, n = s.cut_counting(still.select("v", "p0", "dangles", F.col("p0").alias("rank")), dangling=dangling)
     for _ in range(iterations):
-        mass = share.join(rank.select(F.col("v").alias("s"), "rank"), "s").groupBy(F.col("t").alias("v")).agg(F.sum(F.col("share") * F.col("rank")).alias("mass"))
         back = damping * float(n["dangling"] or 0.0) + 1 - damping
-        new = F.coalesce("mass", F.lit(0.0)) * damping + F.col("p0") * back
-        nxt = rank.join(mass, "v", "left").select("v", "p0", "dangles", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
+        # what reaches a node and the node's own row meet in one aggregation
+        none = F.lit(None)
+        reached = share.join(rank.select(F.col("v").alias("s"), F.col("rank").alias("r")), "s").select(F.col("t").alias("v"), (F.col("share") * F.col("r")).alias("mass"), none.cast("double").alias("p0"), none.cast("boolean").alias("dangles"), none.cast("double").alias("rank"))
+        own = rank.select("v", F.lit(0.0).alias("mass"), "p0", "dangles", "rank")
+        met = reached.unionByName(own).groupBy("v").agg(F.sum("mass").alias("mass"), *[F.max(c).alias(c) for c in ("p0", "dangles", "rank")])
+        new = F.col("mass") * damping + F.col("p0") * back
+        nxt = met.select("v", "p0", "dangles", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
         nxt, n = s.cut_counting(nxt, dangling=dangling, moved=F.sum("moved"))
         s.drop(rank)
         rank = nxt
