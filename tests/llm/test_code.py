@@ -86,6 +86,14 @@ def test_informative(spark):
     assert [r.ok for r in verbs.select(docpairs.informative(verbs.d, verbs.name, verbs.name).alias("ok")).collect()] == [False, False, True]
 
 
+def test_prose_that_begins_like_a_directive_or_code(spark):
+    no = ["TODO: later", "todo doc", "XXX add docs", "Hack: swap later", "go:noinline", "go:build linux && amd64", "+build linux,!cgo", "#region helpers", "eslint-disable-next-line no-shadow", "eslint-disable no-shadow, max-len -- legacy", "nolint:errcheck", "nolint:errcheck // legacy", "noqa: E501", "pylint: disable=too-many-args", "type: ignore[attr]", "pragma: no cover", "phpcs:ignore", "phpcs:ignore Foo.Bar", "@ts-ignore", "@phpstan-ignore-next-line", "clang-format off", "istanbul ignore next", "noinspection unused", "Created by ide on 2024-06-10.", "Author: Jane Doe <j@x.org>", "Written by Ada Lovelace.", "@author team", "@since 1.2", "Since 1.2", "Version: 2.0.1", "Date: 2020-01-02", "Copyright (c) 2021 The Edge Authors. All rights reserved.", "Copyright The Kubernetes Authors.", "SPDX-License-Identifier: MIT", "Licensed under the Apache License, Version 2.0.", "License: MIT", "MIT License", "return digest;", "payload = flush_cursor(parcel)", "const x = \"two words\";", "run(path)", "func zqx(x string) error", "def zqx(a, b) -> int:", "import os.path;", "if (x) {", "for (int i = 0; i < n; i++) {", "}", "private String owner;", "Ledger ledger = make(token);", "@see mergeShard", "@override", "{@inheritDoc}", "No documentation.", "Missing documentation", "Add description here", "Auto-generated method stub", "self-explanatory", ">>> zqx(3)", "public function go($x) {"]
+    yes = ["Build the index from the shards of a repository.", "Return the offset (in bytes) of the first match.", "Import rows (without headers) from the ledger.", "Let callers wait: wakes them in order.", "Date of the last delivery in local time.", "Version of the schema that the peer speaks.", "Since peers may lag, waits for two heartbeats.", "Contact points of a cluster (seed nodes).", "Region of the last delivery.", "Prettier output is cached by path.", "Lint results of a run, by severity.", "Type: the kind of edge that is followed.", "Owner of the lease, or null.", "Author: the user that pushed the commit.", "License keys expire after a year.", "Copyright notices are kept at the top.", "Released under memory pressure before the next batch.", "This function is distributed over all workers.", "Todo items are sorted by due date.", "Hack around a slow disk.", "Function stub that forwards to the remote peer.", "Missing documentation is reported as a warning.", "Write documentation comments to the output.", "Closes the channel early;", "Waits for locks;", "The state is one of {open, closed}", "depth = number of links up to the root", "Class of service (gold, silver) that a parcel has.", "Public keys: one for each peer.", "Static files; served from the cache.", "Package sizes (in bytes) by name.", "@internal Only the scheduler may drop leases.", "... and then drops the lease.", "Created by the scheduler when a lease runs out.", "Generated by the planner for each shard.", "Sonar pings are sent twice.", "Var args (and keyword args) are merged.", "Const folding: leaves calls alone.", "const folding (of literals) is skipped", "return the offset (in bytes) of the first match", "build the index from shards", "version of the schema that peers speak", "Maintained by a background thread.", "Modified by peers at any time.", "See code owners: they approve.", "Wip limits are per lane.", "Idempotent;", "owners of the lease (by shard)"]
+    df = spark.createDataFrame([(d,) for d in no + yes], "d string").selectExpr("d", "'zqx' as name", "'zqx' as s")
+    got = {r.d: r.ok for r in df.withColumn("ok", docpairs.informative(df.d, df.name, df.s)).collect()}
+    assert [d for d in no if got[d]] == [] and [d for d in yes if not got[d]] == []
+
+
 def test_pairs(spark):
     sym = "symbol_id long, file_path string, name string, kind string, signature string, documentation string, body string, start_line int, line int"
     data = [
