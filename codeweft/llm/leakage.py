@@ -35,7 +35,18 @@ SEGMENT = 4096
 ITEM_BLOCK = 20_000
 
 _HAN = "㐀-䶿一-鿿豈-﫿"
-_TAG = re.compile(r"<[/!]?[A-Za-z][^<>\n]{0,300}>")
+#: Comments, scripts and styles whole, and tags of any length: attributes may run over lines and hold '>' in quotes.
+_TAG = re.compile(
+    r"<(script|style)\b[^<>]*>.*?</\1\s*>|<[A-Za-z][\w:.-]*+(?:\s+[^\s\"'<>/=]++(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]++))?)*+\s*/?>|</[A-Za-z][\w:.-]*+\s*>|<[/!?]?[A-Za-z][^<>\n]*>",
+    re.S | re.I,
+)
+_LINK_END = r"\]\(\s*(?:<[^<>\n]*>|(?:[^()\s]|\([^()\s]*\))*+)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)"
+_IMAGE = re.compile(rf"!\[[^\[\]]*(?:{_LINK_END}|\]\[[^\[\]\n]*\])")
+#: What is not shown of links: Markdown targets, reference labels and their definitions, footnote marks, wiki and Org targets; tags of BBCode and LaTeX.
+_LINK = re.compile(
+    rf"(?m){_LINK_END}|^[ \t>]{{0,9}}\[[^\[\]\n]+\]:[ \t]+\S+(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'|\([^()\n]*\)))?[ \t]*$|\[\^[^\[\]\s]+\]|\]\[[^\[\]\n]*\](?!\])|\[\[[^\[\]|\n]*(?:\||\]\[)"
+    r"|\[/?(?:b|i|u|s|quote|code|url|color|size|font|img|center|email)(?:=[^\[\]\n]*)?\]|\\(?:[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?)(?=\{)|\\href\{[^{}\n]*\}"
+)
 _MARKER = re.compile(r"(?m)^[ \t>]*(?:[-*+•]|\(?\d{1,3}[.)]|#{1,6})[ \t]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐¬][ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
 _WORD = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+")
@@ -43,12 +54,27 @@ _CHAR = re.compile(r"[^\W_]")
 _ANY_HAN = re.compile(f"[{_HAN}]")
 
 
-def _plain(text: str) -> str:
-    """Text without differences of case, character form, accents, invisible characters and markup."""
-    if "&" in text:
-        text = html.unescape(text)
+def _shown(text: str) -> str:
+    """Text without comments, tags and the parts of links that are not shown."""
     if "<" in text:
+        end = text.rfind("-->") + 3
+        text = re.sub(r"<!--.*?-->", " ", text[:end], flags=re.S) + text[end:] if end > 2 else text
         text = _TAG.sub(" ", text)
+    return _LINK.sub(" ", text) if "[" in text or "\\" in text else text
+
+
+def _readings(text: str) -> list[str]:
+    """The plain forms of a text: as it is shown, and if they differ without its images, and with its markup as text."""
+    if "&" in text:
+        text = html.unescape(text)
+    forms = [_shown(text)]
+    if "![" in text:
+        forms.append(_shown(_IMAGE.sub(" ", text)))
+    return [_plain(t) for t in dict.fromkeys([*forms, text])]
+
+
+def _plain(text: str) -> str:
+    """Text without differences of case, character form, accents and invisible characters."""
     text = _BROKEN.sub("", _MARKER.sub(" ", text))
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
@@ -163,16 +189,17 @@ def _kind(plain: str) -> str:
 
 def _task(block: list[tuple[int, str]], key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = [(i, _plain(t)) for i, t in block]
+        plain = [(i, _readings(t)[0]) for i, t in block]
         kinds = [_Index(k, [(i, p) for i, p in plain if _kind(p) == k]) for k in PASSAGE]
         words, chars = kinds
         for b in batches:
             keys, items = [], []
             for doc, text in zip(b.column(key).to_pylist(), b.column("text").to_pylist()):
-                p = _plain(text)
-                found = words.found(_WORD.findall(p))
-                if _ANY_HAN.search(p):
-                    found |= chars.found(_CHAR.findall(p))
+                found = set()
+                for p in _readings(text):
+                    found |= words.found(_WORD.findall(p))
+                    if _ANY_HAN.search(p):
+                        found |= chars.found(_CHAR.findall(p))
                 keys += [doc] * len(found)
                 items += found
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(key).type), pa.array(items, pa.int64())], names=[key, "item_id"])

@@ -89,6 +89,20 @@ def test_leaks(spark):
     assert leakage.leaks(docs(spark, *texts).limit(0), items).count() == 0
 
 
+def test_leaks_with_markup_inside(spark):
+    inside = [
+        "[{}](https://a.b/c_(d)?e=f)", '[{}](<https://a.b/c> "a title")', "![{}](x/y.png)", "{} ![a diagram](data:image/png;base64,AA+B/C==)", "{} <!-- a > b\n\nc -->", "[{}][ref one]", "{}[^12]", "[[Some page|{}]]",
+        '{} <img alt="a > b" src="data:image/png;base64,' + "AAAA+BB/" * 60 + '">', '<span\n  class="x y"\n  id=z>{}</span>', "<https://a.b/c> {}", "[url=https://a.b/c]{}[/url]", "\\textbf{{{}}}", "<style>p {{ x: y }}</style>{}",
+    ]
+    part = ITEM[20:40]
+    texts = [" ".join(noise(30, n) + part[:9] + [m.format(part[9])] + part[10:] + noise(30, 50 + n)) for n, m in enumerate(inside)]
+    texts += ["<!-- " + " ".join(part) + " -->", '<img src="x" alt="' + " ".join(part) + '">', "a <b and " + " ".join(part) + " c> d"]
+    items = spark.createDataFrame([(5, " ".join(ITEM)), (6, HAN)], "item_id int, text string")
+    zh = HAN[10:25] + "[" + HAN[25] + "](https://a.b/c)" + HAN[26:41]
+    n = len(texts)
+    assert rows(leakage.leaks(docs(spark, *texts, zh), items)) == sorted([(i, 5) for i in range(n)] + [(n, 6)], key=repr)
+
+
 def test_leaks_in_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leakage, "ITEM_BLOCK", 2)
     items = [" ".join(noise(40, i)) for i in range(7)]
