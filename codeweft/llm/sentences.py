@@ -62,31 +62,36 @@ _RANGE = "".join(chr(0xE010 + i) for i in range(len(_MARKS)))
 _M = dict(zip(_MARKS, _RANGE))
 
 
-def _stretch(opens: str, closes: str, most: int, inside: str = "", least: int = 0) -> str:
-    """From one mark to the other without either between."""
-    return f"{opens}[^{opens}{closes}{inside}{CUT}]{{{least},{most}}}+{closes}"
+def _stretch(opens: str, closes: str, least: str = "*+") -> str:
+    """From one mark to the other without either between, however long, in one paragraph."""
+    return f"{opens}[^{opens}{closes}{CUT}]{least}{closes}"
 
 
-_ROUND = f"[^{_M['(']}){CUT}]"
-#: Quoted or bracketed stretches of one unit; round and corner brackets may nest once. Fixed patterns.
+def _nested(opens: str, closes: str, depth: int = 4) -> str:
+    """From one mark to the other, however long, in one paragraph; up to `depth` levels of such stretches inside."""
+    free = f"[^{opens}{closes}{CUT}]*+"
+    return f"{opens}{free}(?:{_nested(opens, closes, depth - 1)}{free})*+{closes}" if depth else f"{opens}{free}{closes}"
+
+
+#: Quoted or bracketed stretches of one unit; brackets and “” may nest. Fixed patterns.
 _HELD = "|".join(
     [
-        rf"{_M['(']}{_ROUND}{{0,600}}+(?:{_M['(']}{_ROUND}{{0,300}}+\){_ROUND}{{0,600}}+){{0,20}}+\)",
-        _stretch(_M["（"], "）", 600),
-        _stretch(_M["["], "\\]", 600),
-        _stretch(_M["【"], "】", 600),
-        rf"{_M['「']}[^{_M['「']}」{CUT}]{{0,600}}+(?:{_M['「']}[^{_M['「']}」{CUT}]{{0,600}}+」[^{_M['「']}」{CUT}]{{0,600}}+)?」",
-        _stretch(_M["『"], "』", 600),
-        _stretch(_M["《"], "》", 600),
-        rf"{_M['„']}[^{_M['„']}{_M['“']}”{CUT}]{{0,800}}+[{_M['“']}”]",
-        _stretch(_M["“"], "”", 800),
-        _stretch(_M["«"], _M["»"], 800),
-        _stretch(_M["»"], _M["«"], 800),
-        _stretch(_M["‹"], "›", 800),
-        _stretch(_M["‘"], "’", 400) + r"(?!\p{L})",
-        _stretch(_M['"'], _M['"'], 800, least=1),
-        rf"(?<![\p{{L}}\p{{N}}]){_M["'"]}(?! )[^{_M["'"]}\n{CUT}]{{1,200}}+{_M["'"]}(?![\p{{L}}\p{{N}}])",
-        _stretch(_M["`"], _M["`"], 300, "\n", 1),
+        _nested(_M["("], "\\)"),
+        _nested(_M["（"], "）"),
+        _nested(_M["["], "\\]"),
+        _nested(_M["【"], "】"),
+        _nested(_M["「"], "」"),
+        _nested(_M["『"], "』"),
+        _nested(_M["《"], "》"),
+        rf"{_M['„']}[^{_M['„']}{_M['“']}”{CUT}]*+[{_M['“']}”]",
+        _nested(_M["“"], "”"),
+        _stretch(_M["«"], _M["»"]),
+        _stretch(_M["»"], _M["«"]),
+        _nested(_M["‹"], "›"),
+        _stretch(_M["‘"], "’") + r"(?!\p{L})",
+        _stretch(_M['"'], _M['"'], "++"),
+        rf"(?<![\p{{L}}\p{{N}}]){_M["'"]}(?! )[^{_M["'"]}{CUT}]++{_M["'"]}(?![\p{{L}}\p{{N}}])",
+        _stretch(_M["`"], _M["`"], "++"),
     ]
 )
 _FREE = f"[^{_RANGE[0]}-{_RANGE[-1]}]++"

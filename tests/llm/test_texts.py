@@ -168,6 +168,24 @@ def test_layout(spark):
     assert split(spark, "wartet seit dem\n12. August. Ja", "~~~\nopen. Code") == [["wartet seit dem\n12. August.", "Ja"], ["~~~\nopen. Code"]]
 
 
+@pytest.mark.parametrize("marks", ["()", "[]", "（）", "【】", "「」", "『』", "《》", "„“", "“”", "«»", "‹›", "‘’", '""', "''", "``"])
+def test_quotations_of_any_length(spark, marks):
+    inner = marks[0] + " ".join(f"Step {i} is done. It holds." for i in range(60)) + marks[1]
+    text = f"The log wrote {inner} and then stopped. It was short. Then came \"Off. On.\" again. End."
+    assert split(spark, text) == [[f"The log wrote {inner} and then stopped.", "It was short.", 'Then came "Off. On." again.', "End."]]
+
+
+def test_many_brackets_inside_one(spark):
+    first = "It ran (" + "a (b. C) " * 40 + "d. E) once."
+    assert split(spark, f"{first} End.") == [[first, "End."]]
+
+
+def test_nested_brackets(spark):
+    for a, b in ["()", "[]", "（）", "【】", "「」", "『』", "《》", "“”"]:
+        first = f"It ran {a}one. Two {a}three. Four {a}five. Six{b} seven. Eight{b} nine. Ten{b} once."
+        assert split(spark, f"{first} End.") == [[first, "End."]]
+
+
 def test_no_units_and_awkward_texts(spark):
     df = docs(spark, None, "", " \t \xa0\n", ". B", "🚀 Go. Ö.", "(" * 3000, '"' * 999, "a. " * 3000, "(((a. b). c). d). E")
     got = sentences.units(df.selectExpr("*", "1 as row", "2 as i", "3 as p")).orderBy("doc_id", "start_char").collect()
