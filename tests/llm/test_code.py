@@ -54,6 +54,16 @@ def test_vendored(spark):
     assert got == {p: "vendored" for p in ("r/node_modules/quickpad/a.js", "s/lib/quickpad.js", "t/util/text.js", "u/vendor/n.go")}
 
 
+def test_lines_of_several_libraries_make_no_copy(spark):
+    lines = [f"if (state{i} !== expected{i}) return;" for i in range(12)]
+    libraries = [(f"r/node_modules/lib{k}/a.js", "\n".join([*lines[k : k + 2], *(f"function own{k}_{i}() {{ go(); }}" for i in range(9))])) for k in range(0, 12, 2)]
+    header = [f"import {{ part{i} }} from './part{i}';" for i in range(4)]
+    many = [(f"r/node_modules/all{k}/a.js", "\n".join([*header, f"function only{k}() {{ go(); }}"])) for k in range(30)]
+    copy = ("t/src/copy.js", "\n".join([*header, libraries[0][1]]))
+    got = kinds(spark, *libraries, *many, copy, ("t/src/hand.js", "\n".join(lines)), ("t/src/short.js", "\n".join([*header, *lines[:4]])))
+    assert got == {p: "vendored" for p, _ in [*libraries, *many, copy]}
+
+
 def test_rescanned_and_empty_tables(spark):
     assert kinds(spark, ("r/x.go", "// Code generated by t. DO NOT EDIT.\n"), ("r/x.go", "// Code generated by t. DO NOT EDIT.\n"), ("r/x.go", None)) == {"r/x.go": "generated"}
     assert codefilter.not_hand_written(spark.createDataFrame([], "rel_path string, content string")).count() == 0
