@@ -55,7 +55,7 @@ def _doc_above(lines: list[str], at: int, grammar: str) -> str | None:
             continue
         if line.rstrip().endswith((")", "]", "}")) and not line.lstrip().startswith(("//", "*")):  # perhaps the end of a longer annotation
             j, depth = i, 0
-            while j >= 0 and i - j < 30 and lines[j].strip():
+            while j >= 0:  # the balance ends the walk
                 depth += sum(lines[j].count(c) for c in ")]}") - sum(lines[j].count(c) for c in "([{")
                 if depth <= 0:
                     break
@@ -123,7 +123,7 @@ def _brace_body(text: str, start: int, grammar: str) -> tuple[str, str] | None:
 def _python(lines: list[str], at: int) -> tuple[str, str, str] | None:
     """(signature, documentation, body) of the def at line `at`."""
     depth, i = 0, at
-    while i < len(lines) and i - at < 200:
+    while i < len(lines):
         code = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", "''", lines[i])
         code = code.split("#")[0]
         depth += sum(code.count(c) for c in "([{") - sum(code.count(c) for c in ")]}")

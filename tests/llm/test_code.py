@@ -86,6 +86,16 @@ def test_islands():
     assert list(functions("a.md", "x")) == []
 
 
+def test_long_annotations_and_signatures():
+    block = "@Operation(\n  responses = {\n" + "".join(f'    @ApiResponse(code = "{i}"),\n' for i in range(40)) + "\n  }\n)\n"
+    java = "class A {\n/** Keeps the order. */\n" + block + "public void run() {\n  go();\n}\n}\n"
+    assert ("run", "Keeps the order.") in [(name, doc) for _, name, doc in found("A.java", java)]
+    py = "def run(\n" + "".join(f"    a{i},\n" for i in range(300)) + "):\n    'Keeps the order.'\n    return 1\n"
+    assert found("a.py", py) == [(1, "run", "Keeps the order.")]
+    many = "".join(f"x{i} = [\n" for i in range(3)) + "def broken(\n" * 3 + "y = 1\n"
+    assert found("b.py", many) == []
+
+
 def test_informative(spark):
     no = ["", None, "  ", "----", "TODO: later", "FIXME", "N/A", "run.", "Run runs.", "Runs it.", "Helper to run.", "run helper", "@param x\n@return", "@inheritDoc", "{@inheritDoc}", "@author team", "@since 1.2", "eslint-disable-next-line no-shadow", "nolint:errcheck", "pragma: no cover", "noqa: E501", "go:noinline", "@ts-ignore", "Copyright (c) 2020 The Authors. All rights reserved.", "Created by ide on 2020-1-2.", "func run(x string) error", "x = run(y)\nreturn x;", "Description of run", "ditto", "See below", "Auto-generated method stub"]
     yes = ["Times are in UTC.", "Blocks until the queue is empty.", "run stops early.", "返回新的副本，找不到时返回空值。", "TODO: more\nKeeps order.", "@param x the widest ledger", "Devuelve la ruta parcial.", "@deprecated use the other one"]
