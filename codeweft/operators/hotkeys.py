@@ -2,8 +2,9 @@
 
 Each input split encodes its keys in a dictionary and adds into dense accumulator arrays
 (numpy bincount), so a key costs one partial row per split, however many rows it has. The
-partial arrays are then summed block by block: keys are spread over reducers by hash, and each
-reducer scatter-adds the partials into its own dense arrays.
+partial arrays are then summed block by block: keys are spread over reducers by hash and come
+sorted by it, and each reducer scatter-adds the partials into its own dense arrays, which it emits
+and begins anew once they are full, between two hashes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct keys that a map task holds before it emits its arrays and starts new ones.
+#: Distinct keys that a task holds before it emits its arrays and starts new ones.
 FLUSH_KEYS = 400_000
 
 
@@ -53,13 +54,23 @@ class _Accumulators:
 def _task(measures: list[str], partial: bool):
     schema = pa.schema([("key", pa.string()), ("n", pa.int64()), *[(m, pa.float64()) for m in measures]])
 
+    def parts(b: pa.RecordBatch) -> list[pa.RecordBatch]:
+        """The batch, in a reducer what stands before its last hash and the rest: the keys of the first part are complete."""
+        if partial:
+            return [b]
+        h = b.column("h").to_numpy()
+        last = int(np.searchsorted(h, h[-1]))
+        return [b.slice(0, last), b.slice(last)] if last else [b]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = _Accumulators(len(measures))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            values = [np.nan_to_num(b.column(m).to_numpy(zero_copy_only=False).astype(np.float64)) for m in measures]
-            acc.add(b.column("key"), None if partial else b.column("n").to_numpy(), values)
+        for whole in batches:
+            for i, b in enumerate(parts(whole) if whole.num_rows else []):
+                if i and len(acc.slots) > FLUSH_KEYS:
+                    yield acc.batch(schema)
+                    acc = _Accumulators(len(measures))
+                values = [np.nan_to_num(b.column(m).to_numpy(zero_copy_only=False).astype(np.float64)) for m in measures]
+                acc.add(b.column("key"), None if partial else b.column("n").to_numpy(), values)
             if partial and len(acc.slots) > FLUSH_KEYS:
                 yield acc.batch(schema)
                 acc = _Accumulators(len(measures))
@@ -79,7 +90,8 @@ def key_totals(df: DataFrame, key: str, measures: dict | None = None) -> DataFra
     ddl = "key string, n bigint" + "".join(f", `{m}` double" for m in names)
     slim = df.select(F.col(key).cast("string").alias("key"), *[c.cast("double").alias(m) for m, c in (measures or {}).items()])
     partial = slim.mapInArrow(_task(names, True), ddl)
-    return partial.repartition(F.xxhash64("key")).mapInArrow(_task(names, False), ddl)
+    spread = partial.withColumn("h", F.xxhash64("key")).repartition("h").sortWithinPartitions("h")
+    return spread.mapInArrow(_task(names, False), ddl)
 
 
 def hot_keys(totals: DataFrame, share: float = 0.02) -> DataFrame:

@@ -156,6 +156,17 @@ def test_key_totals(spark, monkeypatch):
     assert hotkeys.key_totals(df.limit(0), "k").count() == 0
 
 
+def test_key_totals_in_small_batches(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("concat('k', id % 700) as k").repartition(6)
+    monkeypatch.setattr(hotkeys, "FLUSH_KEYS", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = hotkeys.key_totals(df, "k").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 700 and {r.key: r.n for r in got} == Counter(f"k{i % 700}" for i in range(5000))
+
+
 def test_hot_keys(spark):
     totals = hotkeys.key_totals(spark.createDataFrame([("a",)] * 3 + [("b",)] + [(None,)] * 96, "k string"), "k").cache()
     assert rows(hotkeys.hot_keys(totals, 0.02), "key") == [("a",)]
