@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import BROADCAST_ROWS, Scratch
+
 #: Pieces in which the rows of one (group, snapshot) look up the next snapshot's number.
 SALTS = 32
 
@@ -15,6 +17,27 @@ def canonical_path(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(F.translate(c, "\\", "/")), "/(\\.?/)+", "/"), "^(\\./|/)+", "")
 
 
+def deliveries(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(grp, snapshot_no, prev_no, next_no) of a table (grp, snapshot_no), and how many there are.
+
+    A group's neighbours are its own deliveries: a snapshot that it lacks is passed over, after its last there is none.
+    """
+    order = Window.partitionBy("grp").orderBy("snapshot_no")
+    per = rows.where("grp is not null and snapshot_no is not null").groupBy("grp", "snapshot_no").agg(F.count(F.lit(1)).alias("n"))
+    near = per.select("grp", "snapshot_no", F.lag("snapshot_no").over(order).alias("prev_no"), F.lead("snapshot_no").over(order).alias("next_no"))
+    table, n = Scratch(rows.sparkSession, "deliveries").cut_counting(near)
+    return table, n["rows"]
+
+
+def placed(rows: DataFrame, key: str, delivered: tuple[DataFrame, int]) -> DataFrame:
+    """rows (grp, snapshot_no, key, ...) with prev_no and next_no. Many deliveries are looked up in salted pieces, since one may hold a third of the rows."""
+    table, n = delivered
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), ["grp", "snapshot_no"])
+    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(spread, ["grp", "snapshot_no", "salt"]).drop("salt")
+
+
 def snapshot_changes(rows: DataFrame, loaded_at: str, hashed: list[Column]) -> DataFrame:
     """Rows (grp, snapshot_no, key, change) of a table (grp, snapshot_no, key, loaded_at, ...).
 
@@ -26,15 +49,7 @@ def snapshot_changes(rows: DataFrame, loaded_at: str, hashed: list[Column]) -> D
     row_hash = F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in hashed])
     keyed = rows.where(F.col("grp").isNotNull() & F.col("snapshot_no").isNotNull() & F.col("key").isNotNull())
     last = keyed.groupBy("grp", "snapshot_no", "key").agg(F.max(F.struct(F.col(loaded_at).alias("t"), row_hash.alias("h"))).alias("m"))
-    last = last.select("grp", "snapshot_no", "key", F.col("m.h").alias("h"))
-
-    delivered = keyed.groupBy("grp", "snapshot_no").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("grp").orderBy("snapshot_no")
-    delivered = delivered.select(
-        "grp", "snapshot_no", F.lead("snapshot_no").over(order).alias("next_no"), F.lag("snapshot_no").over(order).alias("prev_no")
-    )
-    spread = delivered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    known = last.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(spread, ["grp", "snapshot_no", "salt"])
+    known = placed(last.select("grp", "snapshot_no", "key", F.col("m.h").alias("h")), "key", deliveries(keyed))
 
     later = known.where("prev_no is not null").select("grp", "snapshot_no", "key", F.col("h").alias("new_h"))
     earlier = known.where("next_no is not null").select("grp", F.col("next_no").alias("snapshot_no"), "key", F.col("h").alias("old_h"))

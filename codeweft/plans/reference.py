@@ -159,16 +159,18 @@ def implements_edges(spark, sf_dir):
 
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "file_cache").withColumn("rel_path", snapshots.canonical_path(F.col("rel_path")))
+    path = snapshots.canonical_path(F.col("rel_path"))
+    c = load(spark, sf_dir, "file_cache").withColumn("rel_path", path).withColumn("grp", resolve.repository(path))
     last = F.max(F.struct("loaded_at", F.lower("checksum").alias("checksum"), "size", "mtime_ns")).alias("m")
-    return c.groupBy("snapshot_no", "rel_path").agg(last).select("snapshot_no", "rel_path", "m.checksum", "m.size", "m.mtime_ns")
+    return c.groupBy("grp", "snapshot_no", "rel_path").agg(last).select("grp", "snapshot_no", "rel_path", "m.checksum", "m.size", "m.mtime_ns")
 
 
 def incremental_classify(spark, sf_dir):
-    """Each delivery's files against the entries of the delivery before."""
+    """Each delivery's files against the entries of the repository's delivery before; its first is all added."""
     d = _deliveries(spark, sf_dir)
-    cache = d.withColumn("snapshot_no", F.col("snapshot_no") + 1)
-    return incremental.classify(d, cache, ["snapshot_no", "rel_path"])
+    near = snapshots.placed(d, "rel_path", snapshots.deliveries(d.select("grp", "snapshot_no")))
+    cache = near.where("next_no is not null").withColumn("snapshot_no", F.col("next_no"))
+    return incremental.classify(near, cache, ["snapshot_no", "rel_path"])
 
 
 def incremental_stats(spark, sf_dir):

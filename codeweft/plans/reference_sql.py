@@ -82,8 +82,10 @@ select src, 'sym:' || file_path || '::' || hit as dst, 'CALLS' as type, 2.0::dou
 union all select t.src, o.id, 'CALLS', 1.0::double from t join own o on o.repo = t.repo and o.name = t.b where t.hit is null and o.id <> t.src"""
 _DELIVERED = """d as (select s, q, max(struct_pack(l := loaded_at, c := lower(checksum), z := size, t := mtime_ns)) as m
   from (select snapshot_no as s, regexp_replace(replace(rel_path, '\\', '/'), '^(\\./|/)+', '') as q, * from file_cache) group by s, q),
-cl as (select coalesce(a.s, b.s + 1) as snapshot_no, coalesce(a.q, b.q) as rel_path, case when a.q is null then 'deleted' when b.q is null then 'added'
-  when (a.m.z = b.m.z and a.m.t = b.m.t) or a.m.c = b.m.c then 'cached' else 'modified' end as status from d a full join d b on b.q = a.q and b.s + 1 = a.s)"""
+w as (select g, s, max(s) over (partition by g order by s rows between unbounded preceding and 1 preceding) as before from (select distinct split_part(q, '/', 1) as g, s from d)),
+o as (select w.s, d.q, d.m from d join w on w.g = split_part(d.q, '/', 1) and w.before = d.s),
+cl as (select coalesce(a.s, o.s) as snapshot_no, coalesce(a.q, o.q) as rel_path, case when a.q is null then 'deleted' when o.q is null then 'added'
+  when (a.m.z = o.m.z and a.m.t = o.m.t) or a.m.c = o.m.c then 'cached' else 'modified' end as status from d a full join o on o.q = a.q and o.s = a.s)"""
 _EXT = "lower(regexp_extract({0}, '\\.([^./]*)$', 1))"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,15 +29,18 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
+    """The folder all executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
 
-    Only where the session names none (tests, a local run) a temporary folder is set.
+    Where neither is set, a temporary folder is taken on a local master only; on a cluster each
+    machine would have its own, so that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {sc.master} share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="codeweft-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -45,14 +49,19 @@ class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A lost executor costs only the tasks of the current step, since earlier steps are read
-    back from these tables.
+    back from these tables. What is left of them goes with close(), at the latest with the session's JVM.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.step = 0
-        self.paths: dict[int, str] = {}
+        fs, at = self._place(self.root)
+        fs.deleteOnExit(at)
+
+    def _place(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
     def cut(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         """df written as a table and read back."""
@@ -60,7 +69,6 @@ class Scratch:
         self.step += 1
         (df.coalesce(partitions) if partitions else df).write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
         back._scratch_path = path
         return back
 
@@ -70,10 +78,24 @@ class Scratch:
         back = self.cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in counts.items()]))
         return back, {k: v or 0 for k, v in seen.get.items()}
 
-    def drop(self, df: DataFrame | None) -> None:
-        """Deletes a table that no later step reads."""
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes tables that no later step reads."""
+        for df in tables:
+            path = getattr(df, "_scratch_path", None)
+            if path:
+                fs, at = self._place(path)
+                fs.delete(at, True)
+
+    def close(self) -> None:
+        """Deletes all tables, once the results made from them are written."""
+        fs, at = self._place(self.root)
+        fs.delete(at, True)
+
+
+#: Rows up to which a side may be broadcast: some 20 MB of short rows.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast if its counted rows are few, else as it is."""
+    return F.broadcast(df) if rows <= most else df

@@ -1,4 +1,4 @@
-"""The file cache and the index as parquet tables that are replaced as a whole."""
+"""The file cache and the index as parquet tables that are replaced as a whole, by versions and a pointer."""
 
 from __future__ import annotations
 
@@ -10,44 +10,68 @@ from pyspark.sql.types import StructType
 
 from ..schemas import FILE_CACHE
 
+#: The file that names a table's version.
+POINTER = "CURRENT"
+
 
 def _fs(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _fs(spark, path)
-    return fs.exists(at)
+def _pointer(spark: SparkSession, path: str) -> str | None:
+    """The version that the table's pointer file names, or None."""
+    fs, at = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(at):
+        return None
+    name = spark.read.text(f"{path}/{POINTER}").first()
+    return name[0].strip() if name else None
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Writes df beside the table at path, then puts it in its place: a reader sees the old or the new one."""
+    """Writes df as a new version below path, then points to it with one atomic rename.
+
+    A reader sees the version before or the new one, whole; a crash leaves the one before. Two
+    versions are kept, so that who has opened the one before can read it to its end.
+    """
     spark = df.sparkSession
-    tmp, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(tmp)
-    fs, at = _fs(spark, path)
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    if fs.exists(at):
-        fs.rename(at, path_of(old))
-    fs.rename(path_of(tmp), at)
-    fs.delete(path_of(old), True)
+    before = _pointer(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, new = _fs(spark, f"{path}/{POINTER}-{version}")
+    out = fs.create(new)
+    out.write(bytearray(version.encode()))
+    out.close()
+    _, at = _fs(spark, f"{path}/{POINTER}")
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), conf)
+    context.rename(fs.makeQualified(new), fs.makeQualified(at), options)
+    for old in fs.listStatus(_fs(spark, path)[1]):
+        name = old.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(old.getPath(), True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version of the table that its pointer names."""
+    return spark.read.parquet(f"{path}/{_pointer(spark, path)}")
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cached entries; a missing table, or one that is no parquet, is an empty cache."""
+    """The cached entries; a missing table, or one that cannot be read, is an empty cache."""
     schema = StructType.fromDDL(FILE_CACHE)
+    version = _pointer(spark, path)
+    if version is None:
+        return spark.createDataFrame([], schema)
     try:
-        if exists(spark, path):
-            return spark.read.schema(schema).parquet(path) if spark.read.parquet(path).columns else spark.createDataFrame([], schema)
-    except Exception as e:  # noqa: BLE001 - any unreadable cache counts as empty
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e) and "CANNOT_READ" not in str(e):
+        kept = spark.read.parquet(f"{path}/{version}")
+    except Exception as e:  # noqa: BLE001 - an unreadable version counts as empty
+        if not any(w in str(e) for w in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ")):
             raise
-    return spark.createDataFrame([], schema)
-
-
-def save_cache(cache: DataFrame, path: str) -> None:
-    replace(cache, path)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{version}") if set(schema.names) <= set(kept.columns) else spark.createDataFrame([], schema)
 
 
 def get(cache: DataFrame, rel_path: str) -> DataFrame:
@@ -70,7 +94,7 @@ def save_index(nodes: DataFrame, edges: DataFrame, path: str, repository: str =
     replace(nodes, f"{path}/nodes")
     kept = edges.join(nodes.select(F.col("id").alias("src")).distinct(), "src", "left_semi").select(edges.columns)
     replace(kept, f"{path}/edges")
-    n, e = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    n, e = load_index(spark, path)
     files, edge_count = n.where("type = 'file'").count(), e.count()
     replace(
         spark.range(1).select(
@@ -82,4 +106,4 @@ def save_index(nodes: DataFrame, edges: DataFrame, path: str, repository: str =
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    return current(spark, f"{path}/nodes"), current(spark, f"{path}/edges")

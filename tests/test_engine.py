@@ -7,10 +7,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from codeweft import cli, pipeline, tools
+from codeweft import cli, pipeline, session, tools
 from codeweft.functions import text
 from codeweft.operators import graph, incremental, pack, pagerank, resolve, search
 from codeweft.schemas import EDGES, FS_EVENTS, NODES
+from codeweft.plans import reference
 from codeweft.sources import repository, store
 from codeweft.streaming import watch
 
@@ -148,6 +149,40 @@ def test_freshness(spark):
     assert tuple(incremental.stats(got).first()) == (6, 1, 2, 1, 3)
 
 
+def test_deliveries_are_compared_within_their_repository(spark, tmp_path):
+    c = "snapshot_no int, rel_path string, checksum string, loaded_at timestamp, size long, mtime_ns long"
+    t = datetime(2024, 1, 1)
+    data = [(1, "r/a", "1"), (1, "r/b", "1"), (1, "s/a", "1"), (2, "r/a", "2"), (2, "r/b", "1"), (3, "r/a", "2"), (3, "s/a", "1"), (3, "s/b", "1")]
+    spark.createDataFrame([(*d, t, None, None) for d in data], c).write.parquet(str(tmp_path / "file_cache.parquet"))
+    got = rows(reference.incremental_classify(spark, str(tmp_path)))
+    # s lacks delivery 2, so its third is compared with its first; nothing is deleted in a delivery that does not exist
+    assert got == sorted([(1, "r/a", "added"), (1, "r/b", "added"), (1, "s/a", "added"), (2, "r/a", "modified"), (2, "r/b", "cached"), (3, "r/a", "cached"), (3, "r/b", "deleted"), (3, "s/a", "cached"), (3, "s/b", "added")])
+    assert tuple(reference.incremental_stats(spark, str(tmp_path)).first()) == (8, 4, 1, 1, 3)
+
+
+def test_scratch_needs_a_shared_folder_and_leaves_nothing(spark, monkeypatch):
+    s = session.Scratch(spark, "x")
+    t = s.cut(spark.range(3))
+    assert t.count() == 3
+    s.close()
+    assert not s._place(s.root)[0].exists(s._place(s.root)[1])
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                class sc:
+                    class getCheckpointDir:
+                        isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Elsewhere)
+
+
 def test_index_lifecycle(spark, tmp_path, capsys):
     root = tmp_path / "work" / "build"  # the root's own name is not judged
     (root / "node_modules").mkdir(parents=True)
@@ -185,20 +220,26 @@ def test_cache_and_index_tables(spark, tmp_path):
     path = str(tmp_path / "c")
     empty = store.load_cache(spark, path)
     assert empty.count() == 0
-    (tmp_path / "broken").mkdir()
-    (tmp_path / "broken" / "x.parquet").write_text("{")
+    (tmp_path / "broken" / "v-1").mkdir(parents=True)
+    (tmp_path / "broken" / store.POINTER).write_text("v-1")
+    assert store.load_cache(spark, str(tmp_path / "broken")).count() == 0
+    (tmp_path / "broken" / "v-1" / "x.parquet").write_text("{")
     assert store.load_cache(spark, str(tmp_path / "broken")).count() == 0
     entry = spark.createDataFrame([("a.go", 1, 1, "x", [], ["imp"])], empty.schema)
-    store.save_cache(store.put(empty, entry), path)
-    store.save_cache(store.put(store.load_cache(spark, path), spark.createDataFrame([("a.go", 2, 1, "y", [], [])], empty.schema)), path)
+    store.replace(store.put(empty, entry), path)
+    store.replace(store.put(store.load_cache(spark, path), spark.createDataFrame([("a.go", 2, 1, "y", [], [])], empty.schema)), path)
     cache = store.load_cache(spark, path)
     assert store.get(cache, "a.go").first().checksum == "y" and cache.count() == 1
     assert store.remove(cache, cache.select("rel_path")).count() == 0
+    store.replace(cache.limit(0), path)
+    assert cache.count() == 1 and store.load_cache(spark, path).count() == 0  # a reader keeps its version
+    store.replace(cache, path)
+    assert len([p for p in (tmp_path / "c").iterdir() if p.name.startswith("v-")]) == 2
     nodes = N(spark, "file:a.go")
     store.save_index(nodes, E(spark, ("file:a.go", "node2"), ("zz", "file:a.go")), str(tmp_path / "i"))
     n, e = store.load_index(spark, str(tmp_path / "i"))
     assert n.count() == 1 and e.count() == 1
-    assert spark.read.parquet(str(tmp_path / "i/metadata")).first().edges == 1
+    assert store.current(spark, str(tmp_path / "i/metadata")).first().edges == 1
 
 
 def test_bursts(spark, tmp_path):
