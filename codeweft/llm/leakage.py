@@ -1,11 +1,13 @@
 """Held-out items whose passages stand in documents.
 
-Containment search by MinHash sketches of the small sets: every passage of an item (15 words,
-or 30 characters of Chinese) is sketched by the k smallest hashes of its shingles, and the
-sketches are looked up in each document's shingle set. Sets are partitioned by size: passages
-by their kind, documents by cutting long ones into overlapping segments, so that a passage is
-compared with a set of bounded size. Hits that agree on the offset between item and document are
-verified word by word.
+Containment search by MinHash sketches of the small sets, in Spark joins:
+
+1. Every passage of an item (15 words, or 30 characters of Chinese) is a set of shingles, put into
+   a partition by its size and sketched by its smallest hashes. The sketches are a table of rows.
+2. All documents are read once. A Bloom filter of the sketches, of a fixed largest size, lets only
+   those stretches of a document pass that may hold a sketched shingle.
+3. Stretches and sketches are joined on partition and shingle hash; hot shingles are split by a salt.
+4. Pairs that agree on the offset between item and document are verified word by word.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..session import BROADCAST_ROWS, Scratch, small
 
 #: Words, or characters of an item in Chinese, that make a passage.
 PASSAGE = {"word": 15, "char": 30}
@@ -26,13 +31,17 @@ PASSAGE = {"word": 15, "char": 30}
 REPLACED = 7
 #: Words or characters of a shingle.
 SHINGLE = 5
-#: Smallest hashes kept of each passage. A passage with every seventh word replaced can keep a
-#: single shingle, so the sketch holds them all (a word passage has 11, a character passage 26).
-SKETCH = 26
-#: Tokens of a segment of a document.
-SEGMENT = 4096
-#: Items that are looked up at once; more are done in blocks of so many.
-ITEM_BLOCK = 20_000
+#: Smallest hashes kept of a passage, by size partition. A passage with every seventh word replaced can keep
+#: a single shingle, so that the sketches of these small sets hold them all; with less, passages are lost.
+SKETCH = {"word": 11, "char": 26}
+#: Tokens around a shingle that a verification needs: of any stretch that counts some part does that is no longer.
+#: (If no cut between two equal words leaves a part that counts, every second word is unequal but for a passage at
+#: each end, and one in REPLACED allows that for less than these.)
+REACH = {"word": 48, "char": 96}
+#: Bits of the filter for each sketched shingle, and at most (16 MB).
+FILTER_BITS, FILTER_MOST = 64, 1 << 27
+#: Pieces in which shingles are joined where the sketches are too many to be broadcast.
+SALTS = 16
 
 _HAN = "㐀-䶿一-鿿豈-﫿"
 #: Comments, scripts and styles whole, and tags of any length: attributes may run over lines and hold '>' in quotes.
@@ -103,83 +112,18 @@ def _shingles(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def _sketched(h: np.ndarray, passage: int) -> np.ndarray:
+def _sketched(h: np.ndarray, kind: str) -> np.ndarray:
     """Positions of the shingles that are among the SKETCH smallest of some passage."""
-    width = passage - SHINGLE + 1
-    if len(h) <= width or width <= SKETCH:
+    width, most = PASSAGE[kind] - SHINGLE + 1, SKETCH[kind]
+    if width <= most:
         return np.arange(len(h))
     windows = np.lib.stride_tricks.sliding_window_view(h, width)
-    least = np.argpartition(windows, SKETCH - 1, axis=1)[:, :SKETCH] + np.arange(len(windows))[:, None]
+    least = np.argpartition(windows, most - 1, axis=1)[:, :most] + np.arange(len(windows))[:, None]
     return np.unique(least)
 
 
-class _Index:
-    """The sketches of a block of items, of one kind."""
-
-    def __init__(self, kind: str, items: list[tuple[int, str]]):
-        self.kind, self.need = kind, PASSAGE[kind]
-        self.ids, self.codes = [], []
-        h, owner, at = [], [], []
-        for item_id, plain in items:
-            codes = _codes((_CHAR if kind == "char" else _WORD).findall(plain))
-            if len(codes) < self.need:
-                continue
-            s = _shingles(codes)
-            p = _sketched(s, self.need)
-            h.append(s[p])
-            at.append(p)
-            owner.append(np.full(len(p), len(self.ids)))
-            self.ids.append(item_id)
-            self.codes.append(codes)
-        empty = np.zeros(0, np.int64)
-        self.h = np.concatenate(h) if h else np.zeros(0, np.uint64)
-        self.at, self.owner = (np.concatenate(x) if x else empty for x in (at, owner))
-        order = np.argsort(self.h, kind="stable")
-        self.h, self.at, self.owner = self.h[order], self.at[order], self.owner[order]
-        self.distinct = np.unique(self.h)
-
-    def found(self, tokens: list[str]) -> set:
-        """Ids of the items of which a document's tokens hold a passage."""
-        out: set = set()
-        if len(tokens) < self.need or not len(self.h):
-            return out
-        codes = _codes(tokens)
-        longest = max(map(len, self.codes))
-        step = max(SEGMENT, 2 * longest)
-        for begin in range(0, max(1, len(codes) - longest), step):
-            out |= self._segment(codes[begin : begin + step + longest])
-        return out
-
-    def _segment(self, codes: np.ndarray) -> set:
-        s = _shingles(codes)
-        place = np.searchsorted(self.distinct, s)
-        place[place == len(self.distinct)] = 0
-        hit = np.flatnonzero(self.distinct[place] == s)
-        if not len(hit):
-            return set()
-        lo, hi = np.searchsorted(self.h, s[hit], "left"), np.searchsorted(self.h, s[hit], "right")
-        reps = hi - lo
-        entry = np.repeat(lo - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-        pairs = np.stack([self.owner[entry], np.repeat(hit, reps) - self.at[entry]], 1)
-        out: set = set()
-        for k, shift in np.unique(pairs, axis=0):
-            if self.ids[k] not in out and self._holds(self.codes[k], codes, int(shift)):
-                out.add(self.ids[k])
-        return out
-
-    def _holds(self, item: np.ndarray, doc: np.ndarray, shift: int) -> bool:
-        """Whether at this offset a stretch of `need` or more begins and ends equal, with at most one in REPLACED unequal."""
-        a, b = max(0, -shift), min(len(item), len(doc) - shift)
-        if b - a < self.need:
-            return False
-        same = item[a:b] == doc[a + shift : b + shift]
-        if same.sum() < self.need - self.need // REPLACED:
-            return False
-        g = REPLACED * np.r_[0, np.cumsum(~same)] - np.arange(len(same) + 1)
-        first = np.maximum.accumulate(np.where(same, g[:-1], np.iinfo(np.int64).min))
-        ends = np.flatnonzero(same)
-        ends = ends[ends >= self.need - 1]
-        return bool((g[ends + 1] <= first[ends - self.need + 1]).any())
+def _tokens(kind: str, plain: str) -> list[str]:
+    return (_CHAR if kind == "char" else _WORD).findall(plain)
 
 
 def _kind(plain: str) -> str:
@@ -187,42 +131,151 @@ def _kind(plain: str) -> str:
     return "char" if 2 * len(_ANY_HAN.findall(plain)) > len(letters) else "word"
 
 
-def _task(block: list[tuple[int, str]], key: str):
+def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_SKETCHES = pa.schema([("item_id", pa.int64()), ("part", pa.string()), ("codes", _LONGS), ("h", _LONGS), ("at", _INTS)])
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items (item_id, text) as (item_id, part, codes, h, at): their words' codes and their passages' sketches."""
+    for b in batches:
+        out: list[list] = [[] for _ in _SKETCHES]
+        for item_id, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+            plain = _readings(text)[0]
+            kind = _kind(plain)
+            codes = _codes(_tokens(kind, plain))
+            if len(codes) < PASSAGE[kind]:
+                continue
+            h = _shingles(codes)
+            at = _sketched(h, kind)
+            for c, v in zip(out, (item_id, kind, codes.view(np.int64), h[at].view(np.int64), at.astype(np.int32))):
+                c.append(v)
+        yield _batch(out, _SKETCHES)
+
+
+def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The filter's bits of hashes; _slot() is the same in SQL."""
+    mask = np.uint64(bits - 1)
+    return [(h >> np.uint64(k)) & mask for k in (0, 18, 37)]
+
+
+def _slot(h: Column, bits: int) -> Column:
+    return F.explode(F.array(*[F.shiftrightunsigned(h, k).bitwiseAND(F.lit(bits - 1).cast("bigint")) for k in (0, 18, 37)]))
+
+
+def _filter(sketches: DataFrame, rows: int) -> np.ndarray:
+    """A Bloom filter of the sketches' hashes: at most FILTER_MOST bits, however many there are."""
+    bits = min(FILTER_MOST, max(1 << 15, 1 << (FILTER_BITS * rows - 1).bit_length()))
+    slots = sketches.select(_slot(F.col("h"), bits).alias("slot")).selectExpr("slot + 1 as slot")  # the bitmap functions count from 1
+    page = F.expr("bitmap_bucket_number(slot)").alias("page")  # pages of 4096 bytes
+    pages = slots.groupBy(page).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    found = pages.agg(F.collect_list(F.struct("page", "bits")).alias("pages")).first()["pages"]
+    whole = np.zeros(bits // 8, np.uint8)
+    for p in found:
+        at = (p["page"] - 1) * 4096
+        whole[at : at + 4096] = np.frombuffer(bytes(p["bits"]), np.uint8)
+    return whole
+
+
+def _may_hold(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Positions of the hashes that pass the filter."""
+    at = np.arange(len(h))
+    for slot in _slots(h, 8 * len(bitmap)):
+        s = slot[at].astype(np.int64)
+        # a slot's bit, as bitmap_bit_position counts within its page
+        at = at[(bitmap[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1]
+    return at
+
+
+def _stretches(tokens: list[str], kind: str, bitmap: np.ndarray) -> Iterator[tuple]:
+    """(codes, positions in them, hashes) of the stretches of a document that may hold a sketched shingle."""
+    if len(tokens) < PASSAGE[kind]:
+        return
+    codes = _codes(tokens)
+    h = _shingles(codes)
+    hits = _may_hold(h, bitmap)
+    if not len(hits):
+        return
+    reach = REACH[kind]
+    for part in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * reach) + 1):
+        begin = max(0, part[0] - reach)
+        yield codes[begin : part[-1] + SHINGLE + reach].view(np.int64), (part - begin).astype(np.int32), h[part].view(np.int64)
+
+
+def _scan(bitmap, kind_of_key: pa.DataType):
+    schema = pa.schema([("doc", kind_of_key), ("part", pa.string()), ("codes", _LONGS), ("pos", _INTS), ("h", _LONGS)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = [(i, _readings(t)[0]) for i, t in block]
-        kinds = [_Index(k, [(i, p) for i, p in plain if _kind(p) == k]) for k in PASSAGE]
-        words, chars = kinds
+        bits = bitmap.value
         for b in batches:
-            keys, items = [], []
-            for doc, text in zip(b.column(key).to_pylist(), b.column("text").to_pylist()):
-                found = set()
-                for p in _readings(text):
-                    found |= words.found(_WORD.findall(p))
-                    if _ANY_HAN.search(p):
-                        found |= chars.found(_CHAR.findall(p))
-                keys += [doc] * len(found)
-                items += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(key).type), pa.array(items, pa.int64())], names=[key, "item_id"])
+            out: list[list] = [[] for _ in schema]
+            for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
+                for plain in _readings(text):
+                    for kind in PASSAGE if _ANY_HAN.search(plain) else ("word",):
+                        for codes, pos, h in _stretches(_tokens(kind, plain), kind, bits):
+                            for c, v in zip(out, (doc, kind, codes, pos, h)):
+                                c.append(v)
+            yield _batch(out, schema)
 
     return run
 
 
+def _holds(item: np.ndarray, doc: np.ndarray, shift: int, need: int) -> bool:
+    """Whether at this offset a stretch of `need` or more begins and ends equal, with at most one in REPLACED unequal."""
+    a, b = max(0, -shift), min(len(item), len(doc) - shift)
+    if b - a < need:
+        return False
+    same = item[a:b] == doc[a + shift : b + shift]
+    if same.sum() < need - need // REPLACED:
+        return False
+    g = REPLACED * np.r_[0, np.cumsum(~same)] - np.arange(len(same) + 1)
+    first = np.maximum.accumulate(np.where(same, g[:-1], np.iinfo(np.int64).min))
+    ends = np.flatnonzero(same)
+    ends = ends[ends >= need - 1]
+    return bool((g[ends + 1] <= first[ends - need + 1]).any())
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (doc, item_id, part, codes, item_codes, shift) that hold a passage."""
+    for b in batches:
+        both = [b.column(c) for c in ("item_codes", "codes")]
+        values, spans = [c.values.to_numpy() for c in both], [c.offsets.to_numpy() for c in both]
+        kept = []
+        for i, (part, shift) in enumerate(zip(b.column("part").to_pylist(), b.column("shift").to_pylist())):
+            item, doc = (v[o[i] : o[i + 1]] for v, o in zip(values, spans))
+            if _holds(item, doc, shift, PASSAGE[part]):
+                kept.append(i)
+        yield b.select(["doc", "item_id"]).take(pa.array(kept, pa.int32()))
+
+
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
     """(doc_id, item_id) of each document whose text holds a passage of an item's text.
 
-    The items are the query set, in blocks of ITEM_BLOCK rows that every task gets; all documents
-    are read whole for each block. Null texts and items shorter than a passage hold nothing.
+    Null texts and items shorter than a passage hold nothing; an item id with several texts has
+    the passages of each; without items, or documents, there are no rows. Documents are read once,
+    whatever the number of items.
     """
-    asked = items.where("text is not null").select(F.col("item_id").cast("bigint"), "text")
-    docs = documents.where("text is not null").select(key, "text")
-    blocks = -(-asked.count() // ITEM_BLOCK)
-    kind = documents.schema[key].dataType.simpleString()
-    out = None
-    for n in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n) if blocks > 1 else asked
-        block = [(r["item_id"], r["text"]) for r in part.collect()]  # at most about ITEM_BLOCK items
-        found = docs.mapInArrow(_task(block, key), f"`{key}` {kind}, item_id bigint")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = docs.select(key, F.lit(None).cast("bigint").alias("item_id")).limit(0)
-    return out.distinct()
+    spark, s = documents.sparkSession, Scratch(documents.sparkSession, "leaks")
+    asked = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    sketched = s.cut(asked.mapInArrow(_sketch, "item_id bigint, part string, codes array<bigint>, h array<bigint>, at array<int>").withColumn("item", F.monotonically_increasing_id()))
+    sketches, n = s.cut_counting(sketched.select("item", "part", F.inline(F.arrays_zip("h", "at"))))
+
+    bitmap = spark.sparkContext.broadcast(_filter(sketches, n["rows"]))
+    docs = documents.where("text is not null").select(F.col(key).alias("doc"), "text")
+    kind = docs.schema["doc"].dataType
+    found = docs.mapInArrow(_scan(bitmap, to_arrow_type(kind)), f"doc {kind.simpleString()}, part string, codes array<bigint>, pos array<int>, h array<bigint>")
+    found = s.cut(found.withColumn("row", F.monotonically_increasing_id()))
+
+    hits = found.select("row", "part", F.inline(F.arrays_zip("h", "pos")))
+    if n["rows"] <= BROADCAST_ROWS:
+        pairs = hits.join(F.broadcast(sketches), ["part", "h"])
+    else:  # a shingle that many items or documents have is joined in pieces
+        salted = sketches.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = hits.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["part", "h", "salt"])
+    pairs = pairs.select("row", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    texts = small(sketched.select("item", "item_id", F.col("codes").alias("item_codes")), n["rows"])  # an item's codes are few more than its sketched shingles
+    checked = pairs.join(found.select("row", "doc", "part", "codes"), "row").join(texts, "item")
+    return checked.mapInArrow(_verify, f"doc {kind.simpleString()}, item_id bigint").distinct().withColumnRenamed("doc", key)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 #: The vocabulary of TESTDATA.md; every executor must see the file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: What an id outside the vocabulary is decoded to: U+FFFD.
+UNKNOWN = "\ufffd".encode()
 
 
 def _tokenizer(path: str):
@@ -98,7 +100,7 @@ def _decode_task(path: str, key: str):
         for b in batches:
             texts = []
             for ids in b.column("ids").to_pylist():
-                raw = b"".join([pieces[i] for i in ids or [] if 0 <= i < len(pieces)])
+                raw = b"".join([pieces[i] if i is not None and 0 <= i < len(pieces) else UNKNOWN for i in ids or []])
                 texts.append(raw.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(texts, pa.string())], names=[key, "text"])
 
@@ -109,7 +111,8 @@ def decode(encoded: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY
     """(key, text) of rows (key, ids), by the reversed byte table.
 
     Tokens are joined as bytes first, so that a character split over tokens is whole again; what
-    is no whole character, as at the ends of a cut list, becomes U+FFFD. Null ids give ''.
+    is no whole character, as at the ends of a cut list, and an id that is null or outside the
+    vocabulary become U+FFFD. A null list gives ''.
     """
     kind = encoded.schema[key].dataType.simpleString()
     return encoded.select(key, "ids").mapInArrow(_decode_task(vocabulary, key), f"`{key}` {kind}, text string")

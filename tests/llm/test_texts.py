@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest import SMALL, rows
 from hypothesis import HealthCheck, given, settings
@@ -52,7 +53,7 @@ def test_decoding_of_a_cut_list(spark):
     ids = tokenize.encode(docs(spark, "🚀")).first().ids
     assert len(ids) > 1
     cut = spark.createDataFrame([(1, ids[:1]), (2, None), (3, [10**6])], "doc_id long, ids array<int>")
-    assert [r.text for r in tokenize.decode(cut).orderBy("doc_id").collect()] == ["�", "", ""]
+    assert [r.text for r in tokenize.decode(cut).orderBy("doc_id").collect()] == ["�", "", "�"]
 
 
 # --- leaks
@@ -103,11 +104,33 @@ def test_leaks_with_markup_inside(spark):
     assert rows(leakage.leaks(docs(spark, *texts, zh), items)) == sorted([(i, 5) for i in range(n)] + [(n, 6)], key=repr)
 
 
-def test_leaks_in_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "ITEM_BLOCK", 2)
-    items = [" ".join(noise(40, i)) for i in range(7)]
-    df = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    assert rows(leakage.leaks(docs(spark, *items), df)) == [(i, i) for i in range(7)]
+def test_leaks_of_many_items_in_salted_pieces(spark, monkeypatch):
+    rnd = random.Random(3)
+    items = [" ".join(f"{rnd.getrandbits(30):x}" for _ in range(18)) for _ in range(50_000)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)], "item_id long, text string, h int").repartition(4)
+    asked = [0, 7, 7, 49_999]
+    texts = [" ".join(noise(40, i)) + " " + items[k] for i, k in enumerate(asked)] + [" ".join(noise(80, 99))]
+    assert rows(leakage.leaks(docs(spark, *texts), df)) == [(i, k) for i, k in enumerate(asked)]  # over BROADCAST_ROWS sketches
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 0)
+    few = df.where("item_id < 40")
+    assert rows(leakage.leaks(docs(spark, *texts, items[3]), few)) == [(0, 0), (1, 7), (2, 7), (5, 3)]
+
+
+def test_leaks_of_repeated_words_and_items(spark):
+    items = spark.createDataFrame([(1, "a " * 40), (1, " ".join(ITEM)), (2, "a " * 40), (2, "a " * 40), (None, "a " * 40)], "item_id int, text string")
+    assert rows(leakage.leaks(docs(spark, "a " * 5000, "b " * 50, " ".join(ITEM[:15])).withColumnRenamed("doc_id", "row"), items, "row")) == [(0, 1), (0, 2), (2, 1)]
+
+
+def test_stretches_longer_than_the_reach(spark):
+    """Any stretch that counts has a part within REACH that does."""
+    rnd = random.Random(11)
+    for _ in range(3000):
+        n = rnd.randint(15, 220)
+        same = [rnd.random() > 0.15 for _ in range(n)]
+        whole, need, reach = leakage._holds(np.arange(n), np.where(same, np.arange(n), -1), 0, 15), 15, leakage.REACH["word"]
+        runs = [i for i in range(n - 4) if all(same[i : i + 5])]
+        near = any(leakage._holds(np.arange(n)[max(0, i - reach) : i + 5 + reach], np.where(same, np.arange(n), -1)[max(0, i - reach) : i + 5 + reach], 0, need) for i in runs)
+        assert whole == near
 
 
 def brute_leak(item, doc):
