@@ -47,9 +47,10 @@ def test_edge_orphans_by_time(spark):
 def test_edge_orphans_random_and_split(spark, monkeypatch):
     rnd = random.Random(4)
     ids = [f"id{i}" for i in range(30)]
-    nodes = [(rnd.choice(ids), T(rnd.randint(1, 9)), rnd.choice([None, T(rnd.randint(10, 20))])) for _ in range(60)]
+    nodes = [(rnd.choice([*ids, "hot"]), T(rnd.randint(1, 9)), rnd.choice([None, T(rnd.randint(10, 20))])) for _ in range(60)]
+    nodes += [("hot", T(d, h), T(d, h + 3)) for d in range(10, 24, 2) for h in range(9)]
     edges = [(i, rnd.choice([*ids, "hot", "hot", "hot"]), "hot" if i % 3 else rnd.choice(ids), T(rnd.randint(1, 25))) for i in range(600)]
-    monkeypatch.setattr(orphans, "probe", lambda *a, f=orphans.probe: f(*a, ranges=4, split_rows=50))  # hot ranges in pieces
+    monkeypatch.setattr(orphans, "probe", lambda *a, f=orphans.probe: f(*a, range_rows=200, split_rows=7))  # hot ranges in pieces, on both sides
     assert rows(_edge_case(spark, edges, nodes, ["id3"])) == brute_edges(edges, nodes, {"id3"})
 
 
