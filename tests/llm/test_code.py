@@ -37,6 +37,22 @@ def test_generated(spark):
     assert got == {f"r/{p}": "generated" for p in ("a.go", "b.py", "c.ts", "d.php", "e.rs", "pkg/x.pb.go", "generated/y.ts", "package-lock.json")}
 
 
+def test_notices_count_where_they_are_stated(spark):
+    lead = "// {}\n"
+    yes = ["Code generated by stringer. DO NOT EDIT.\n// The template lives elsewhere.", "Code generated by x. DO NOT EDIT. Hand-written helpers are in util.go.", "Warning: this file is automatically generated.", "Attention! Auto-generated by y from z.", "The contents were generated by a tool.\n// Do not modify them.", "Ce fichier a été généré automatiquement."]
+    no = ["Parses code generated by protoc.", "Tests for automatically generated ids.", "This file is not automatically generated, it is maintained by hand.", "Changes to what was generated by the planner are merged here.", "Once automatically generated, now hand-written."]
+    got = kinds(spark, *[(f"r/y{i}.go", lead.format(t) + HAND) for i, t in enumerate(yes)], *[(f"r/n{i}.go", lead.format(t) + HAND) for i, t in enumerate(no)])
+    assert got == {f"r/y{i}.go": "generated" for i in range(len(yes))}
+
+
+def test_small_files(spark):
+    small = 'export const TABLE = ["aaaaaaaaaa", "bbbbbbbbbb", 12, 13, "cccccccccc", "dddddddd"];\n'
+    doc = '"""What this package does, in a long sentence that is no data at all."""\n'
+    lib = "export function padLeft(text, size) {\n  return text.padStart(size);\n}\n"
+    got = kinds(spark, ("r/t.js", small), ("r/__init__.py", doc), ("r/node_modules/pad/i.js", lib), ("r/src/p.js", lib), ("r/src/q.js", lib.replace("padLeft", "own").replace("padStart", "trim")))
+    assert got == {"r/t.js": "data", "r/node_modules/pad/i.js": "vendored", "r/src/p.js": "vendored"}
+
+
 def test_minified_and_data(spark):
     code = "".join(f'function a{i}(b){{return b.c{i}(d)}}if(e&&!f)throw new Error("x");' for i in range(40))
     long_comment = "// pattern: " + "|".join(f"word{i}" for i in range(200)) + "\n" + HAND
@@ -75,11 +91,11 @@ def found(path, text):
 
 def test_islands():
     ts = "/** Adds. */\n@Dec()\nexport function add(a: number) {\n  return a + '}';\n}\n\n/** Gone */\n\nfunction b() { if (x) { y(); } }\nclass C {\n  /**\n   * Two\n   * lines.\n   */\n  run(): void;\n  /* plain */\n  go(x) { return x; }\n}\n/** One. */ const f = (x) => x + 1;\n"
-    assert found("a.ts", ts) == [(3, "add", "Adds."), (9, "b", ""), (17, "go", ""), (19, "f", "One.")]
+    assert found("a.ts", ts) == [(3, "add", "Adds."), (19, "f", "One.")]
     py = "def a(x,\n      y):\n    '''Doc\n    more.\n    '''\n    return 1\n\ndef b():\n    x = 1\n\ndef c(): pass\nasync def d(self):\n\n    'late'\n"
     assert found("a.py", py) == [(1, "a", "Doc\nmore."), (8, "b", ""), (11, "c", ""), (12, "d", "")]
     rs = "/// Does it.\n/// Well.\n#[inline]\npub fn a(x: &str) -> u8 {\n  'x'; \"}\"\n}\n// no\nfn b() {}\ntrait T { }\n/// x\nfn c();\n"
-    assert found("a.rs", rs) == [(4, "a", "Does it.\nWell."), (8, "b", "")]
+    assert found("a.rs", rs) == [(4, "a", "Does it.\nWell.")]
     php = "<?php\r\n/**\r\n * Says.\r\n */\r\n#[Pure]\r\npublic function a($x) {\r\n  return \"}\";\r\n}\r\n"
     assert found("a.php", php) == [(6, "a", "Says.")]
     assert next(iter(functions("a.rs", rs)))[4] == "{\n  'x'; \"}\"\n}"
@@ -96,6 +112,37 @@ def test_long_annotations_and_signatures():
     assert found("b.py", many) == []
 
 
+def body(path, text):
+    return {name: body for _, name, _, _, body in functions(path, text)}
+
+
+def test_bodies_end_where_their_brackets_do():
+    doc = "/** Says. */\n"
+    js = doc + "function cut(s) {\n  return s.split(/[\"{]/).map((x) => x / 2 / 3);\n}\n" + doc + "function next() { return `a ${b({c: `}`})} }`; }\n"
+    assert body("a.js", js) == {"cut": '{\n  return s.split(/["{]/).map((x) => x / 2 / 3);\n}', "next": "{ return `a ${b({c: `}`})} }`; }"}
+    rs = "/// Says.\nfn a() -> &str {\n  r#\"}\" {\"# /* } /* } */ } */\n}\n/// Says.\nfn b<'a>(x: &'a str)\nwhere\n  T: A,\n{ '}' }\n"
+    assert body("a.rs", rs) == {"a": '{\n  r#"}" {"# /* } /* } */ } */\n}', "b": "{ '}' }"}
+    php = "<?php\n" + doc + "function a() {\n  return <<<TXT\n  } it's {\n  TXT . 'x\n}'; # it's }\n}\n" + doc + "function b() { return 1; }\n"
+    assert body("a.php", php) == {"a": "{\n  return <<<TXT\n  } it's {\n  TXT . 'x\n}'; # it's }\n}", "b": "{ return 1; }"}
+    java = "class A {\n" + doc + 'String a()\n    throws B, C {\n  return """\n  } "{" """;\n}\n' + doc + "abstract int b();\nint c;\nvoid d() { }\n}\n"
+    assert body("A.java", java) == {"a": '{\n  return """\n  } "{" """;\n}'}
+    ts = doc + "export const a = 1\nfunction other() { }\n" + doc + "export function b(x: { y: string }): { z: number } {\n  return x\n}\n" + doc + "const c = async (x) =>\n  x.y()\nconst d = 2\n" + doc + "const e = function () { go() }\n"
+    assert body("a.ts", ts) == {"b": "{\n  return x\n}", "c": "x.y()", "e": "{ go() }"}
+
+
+def test_islands_are_read_in_linear_time():
+    import time
+
+    def seconds(n):
+        text = "".join(f"/** Says. */\nconst a{i} = [1]\nrun({i})\n)\n*/\n" for i in range(n)) + "".join(f"def f{i}(\n" for i in range(n))
+        began = time.process_time()
+        list(functions("a.ts", text)), list(functions("a.py", text))
+        return time.process_time() - began
+
+    seconds(200)
+    assert seconds(8000) < 8 * 4 * max(seconds(1000), 0.02)
+
+
 def test_informative(spark):
     no = ["", None, "  ", "----", "TODO: later", "FIXME", "N/A", "run.", "Run runs.", "Runs it.", "Helper to run.", "run helper", "@param x\n@return", "@inheritDoc", "{@inheritDoc}", "@author team", "@since 1.2", "eslint-disable-next-line no-shadow", "nolint:errcheck", "pragma: no cover", "noqa: E501", "go:noinline", "@ts-ignore", "Copyright (c) 2020 The Authors. All rights reserved.", "Created by ide on 2020-1-2.", "func run(x string) error", "x = run(y)\nreturn x;", "Description of run", "ditto", "See below", "Auto-generated method stub"]
     yes = ["Times are in UTC.", "Blocks until the queue is empty.", "run stops early.", "返回新的副本，找不到时返回空值。", "TODO: more\nKeeps order.", "@param x the widest ledger", "Devuelve la ruta parcial.", "@deprecated use the other one"]
