@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -60,6 +61,8 @@ _MARKER = re.compile(r"(?m)^[ \t>]*(?:[-*+•]|\(?\d{1,3}[.)]|#{1,6})[ \t]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐¬][ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
 _WORD = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+")
 _CHAR = re.compile(r"[^\W_]")
+#: Combining marks and invisible characters.
+_UNSEEN = regex.compile(r"[\p{Mn}\p{Cf}]+")
 _ANY_HAN = re.compile(f"[{_HAN}]")
 
 
@@ -87,7 +90,7 @@ def _plain(text: str) -> str:
     text = _BROKEN.sub("", _MARKER.sub(" ", text))
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf"))
+        text = _UNSEEN.sub("", text)
     return text.casefold()
 
 
@@ -95,8 +98,8 @@ def _codes(tokens: list[str]) -> np.ndarray:
     """A 64-bit hash of each token."""
     import xxhash
 
-    known = {t: xxhash.xxh64_intdigest(t.encode()) for t in set(tokens)}
-    return np.fromiter((known[t] for t in tokens), np.uint64, len(tokens))
+    known = {t: xxhash.xxh64_intdigest(t) for t in set(tokens)}
+    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def _shingles(codes: np.ndarray) -> np.ndarray:
