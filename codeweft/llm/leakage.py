@@ -57,7 +57,7 @@ _LINK = re.compile(
     rf"(?m){_LINK_END}|^[ \t>]{{0,9}}\[[^\[\]\n]+\]:[ \t]+\S+(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'|\([^()\n]*\)))?[ \t]*$|\[\^[^\[\]\s]+\]|\]\[[^\[\]\n]*\](?!\])|\[\[[^\[\]|\n]*(?:\||\]\[)"
     r"|\[/?(?:b|i|u|s|quote|code|url|color|size|font|img|center|email)(?:=[^\[\]\n]*)?\]|\\(?:[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?)(?=\{)|\\href\{[^{}\n]*\}"
 )
-_MARKER = re.compile(r"(?m)^[ \t>]*(?:[-*+•]|\(?\d{1,3}[.)]|#{1,6})[ \t]+")
+_MARKER = re.compile(r"(?m)^[ \t>]*(?:[-*+•]|\(?\d{1,9}[.)]|#{1,6})[ \t]+")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐¬][ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
 _WORD = re.compile(rf"[{_HAN}]|[^\W_{_HAN}]+")
 _CHAR = re.compile(r"[^\W_]")

@@ -9,6 +9,8 @@ spaces; the pieces' lengths give the units' places in the text as it is.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -67,7 +69,7 @@ def _stretch(opens: str, closes: str, least: str = "*+") -> str:
     return f"{opens}[^{opens}{closes}{CUT}]{least}{closes}"
 
 
-def _nested(opens: str, closes: str, depth: int = 4) -> str:
+def _nested(opens: str, closes: str, depth: int = 16) -> str:
     """From one mark to the other, however long, in one paragraph; up to `depth` levels of such stretches inside."""
     free = f"[^{opens}{closes}{CUT}]*+"
     return f"{opens}{free}(?:{_nested(opens, closes, depth - 1)}{free})*+{closes}" if depth else f"{opens}{free}{closes}"
@@ -94,12 +96,12 @@ _HELD = "|".join(
         _stretch(_M["`"], _M["`"], "++"),
     ]
 )
-_FREE = f"[^{_RANGE[0]}-{_RANGE[-1]}]++"
+_PIECE = f"(?s)[^{_RANGE[0]}-{_RANGE[-1]}]++|(?:{_HELD})|."
 
 
 def _spans(c: Column, change) -> Column:
     """c with change() applied to each quoted or bracketed stretch; lengths stay."""
-    pieces = F.regexp_extract_all(F.translate(c, _MARKS, _RANGE), F.lit(f"(?s){_FREE}|(?:{_HELD})|."), F.lit(0))
+    pieces = F.regexp_extract_all(F.translate(c, _MARKS, _RANGE), F.lit(_PIECE), F.lit(0))
     held = lambda p: (F.length(p) > 1) & (F.instr(F.lit(_RANGE), F.substring(p, 1, 1)) > 0)
     return F.translate(F.array_join(F.transform(pieces, lambda p: F.when(held(p), change(p)).otherwise(p)), ""), _RANGE, _MARKS)
 
@@ -122,88 +124,118 @@ _FENCE_WHOLE = r"[ \t]{0,3}(?:```|~~~).*"
 _PRIVATE = "".join(map(chr, range(0xE000, 0xE020)))
 
 
-def _structure(text: Column) -> Column:
-    """The working copy with fences, headings, list items and blank lines cut out."""
-    t = F.translate(text, _PRIVATE, "x" * len(_PRIVATE))  # private-use characters of the text itself
-    t = F.concat(_sub(_sub(t, "\r(?=\n)", " "), "\r", "\n"), F.lit("\n"))
-
-    fenced = F.regexp_extract_all(t, F.lit(f"{_FENCE}|[^\n]++|\n"), F.lit(0))
-    code = lambda p: F.concat(F.lit(HEAD), F.substring(_hold(F.translate(p, "\n", LINE), _TERMINATORS), 2, 2**31 - 1))
-    t = F.array_join(F.transform(fenced, lambda p: F.when(F.rlike(p, F.lit(rf"(?s)\A{_FENCE_WHOLE}\z")), code(p)).otherwise(p)), "")
-
-    # a heading: its first mark becomes HEAD, its terminators are held
-    heads = rf"[ \t]{{0,3}}#{{1,6}}[ \t][^\n]*+"
-    line = F.regexp_extract_all(t, F.lit("[^\n]++|\n"), F.lit(0))
-    t = F.array_join(F.transform(line, lambda p: F.when(F.rlike(p, F.lit(rf"(?s)\A{heads}\z")), F.concat(F.lit(HEAD), F.substring(_hold(p, _TERMINATORS), 2, 2**31 - 1))).otherwise(p)), "")
-    t = _sub(t, rf"\n(?=[ \t]*(?:={{3,}}|-{{3,}})[ \t]*\n)(?<=(?:\A|\n)[^\n{HEAD}][^\n]{{0,200}}\n)", LINE)  # underlined heading
-    t = _sub(t, rf"[{_TERMINATORS}](?=[^\n{CUT}{HEAD}{LINE}]{{0,200}}{LINE}[ \t=-]*+\n)", HELD)
-    t = _sub(t, rf"({HEAD}[^\n]*+)\n", f"$1{CUT}")
-    t = _sub(t, rf"\n(?={HEAD})", CUT)
-    t = _sub(t, rf"\n(?={_BLANK}*+\n)", CUT)
-    t = _sub(t, rf"\n(?={_BLANK}*+{CUT})", CUT)
-
-    # list items: bullets anywhere, numbers after a cut, another item or as 1.
-    bullet = "(?=[*+\u2022-\u25e6-])[-*+•‣◦▪]"
-    t = _sub(t, rf"{bullet}(?<=(?:\A|[\n{CUT}])[ \t]{{0,40}}.)(?=[ \t]+[^\n{CUT}])", MARK)
-    marked = rf"[ \t]*+\(?\d{{0,3}}{MARK}"
+#: A heading's line, and two lines of which the second underlines the first.
+_HEADING = r"[ \t]{0,3}#{1,6}[ \t][^\n]*+"
+_UNDERLINED = rf"(?!{_HEADING})[^\n]++\n[ \t]*(?:={{3,}}|-{{3,}})[ \t]*(?=\n)"
+_BULLETS = "-*+•‣◦▪"
+#: A list number, as long as Markdown has it.
+_NUMBER = r"\d{1,9}"
+
+
+def _when(df: DataFrame, guard, change) -> DataFrame:
+    """df with change() applied to those copies t for which guard() holds, which is quicker to tell."""
+    t = F.col("t")
+    return df.withColumn("t", F.when(guard(t), change(t)).otherwise(t))
+
+
+def _has(*words: str):
+    return lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words])
+
+
+def _like(pattern: str):
+    return lambda t: F.rlike(t, F.lit(pattern))
+
+
+def _headed(t: Column) -> Column:
+    """Fences, headings and underlined headings as one line each, which begins with HEAD and ends with a cut."""
+    line = lambda p: F.regexp_replace(_hold(F.translate(p, "\n", LINE), _TERMINATORS), "^([ \t]*+).", f"$1{HEAD}")
+    parts = F.regexp_extract_all(t, F.lit(f"{_FENCE}|{_UNDERLINED}|[^\n]++|\n"), F.lit(0))
+    special = lambda p: F.rlike(p, F.lit(rf"(?s)\A(?:{_FENCE_WHOLE}|{_HEADING}|[^\n]+\n.*)\z"))
+    t = F.array_join(F.transform(parts, lambda p: F.when(special(p), line(p)).otherwise(p)), "")
+    return _sub(_sub(t, rf"({HEAD}[^\n]*+)\n", f"$1{CUT}"), rf"\n(?=[ \t]*{HEAD})", CUT)
+
+
+def _listed(t: Column) -> Column:
+    """List items, marked and cut: bullets anywhere, numbers after a cut, another item or as 1."""
+    t = _sub(t, rf"(?<![^\n{CUT}])([ \t]*+)[{_BULLETS}](?=[ \t]+[^\n{CUT}])", f"$1{MARK}")
     t = _sub(t, rf"({MARK}[^\n{CUT}]*+)\n", f"$1{CUT}")
-    t = _sub(t, rf"((?:\G|(?<={CUT})|\A|(?<![^\n{CUT}])(?=[ \t]*+\(?1[.)]))[ \t]*+\(?\d{{1,3}})[.)](?![ \t]+(?:{_some(AFTER_ORDINAL)})(?!\p{{L}}))([ \t]+[^\n{CUT}]*+[\n{CUT}])", f"$1{MARK}$2")
+    t = _sub(t, rf"((?:\G|(?<={CUT})|\A|(?<![^\n{CUT}])(?=[ \t]*+\(?1[.)]))[ \t]*+\(?{_NUMBER})[.)](?![ \t]+(?:{_some(AFTER_ORDINAL)})(?!\p{{L}}))([ \t]+[^\n{CUT}]*+[\n{CUT}])", f"$1{MARK}$2")
     t = _sub(t, rf"({MARK}[^\n{CUT}]*+)\n", f"$1{CUT}")
-    return _sub(t, rf"\n(?={marked})", CUT)
+    return _sub(t, rf"\n(?=[ \t]*+\(?(?:{_NUMBER})?{MARK})", CUT)
 
 
-def _after(words: str, more: str = "") -> str:
-    """A dot right after one of the words. It begins with the dot, so that other characters are passed quickly."""
-    return rf"\.(?<={_NO_LETTER}(?:{words})\.){more}"
+def _structure(df: DataFrame) -> DataFrame:
+    """The working copies t of texts t, with fences, headings, list items and blank lines cut out."""
+    df = df.withColumn("t", F.concat("t", F.lit("\n")))
+    df = _when(df, _like(f"[{_PRIVATE[0]}-{_PRIVATE[-1]}]"), lambda t: F.translate(t, _PRIVATE, "x" * len(_PRIVATE)))  # private-use characters of the text itself
+    df = _when(df, _has("\r"), lambda t: _sub(_sub(t, "\r(?=\n)", " "), "\r", "\n"))
+    df = _when(df, _has("```", "~~~", "#", "===", "---"), _headed)
+    df = _when(df, _like(rf"\n{_BLANK}*+[\n{CUT}]"), lambda t: _sub(t, rf"\n(?={_BLANK}*+[\n{CUT}])", CUT))
+    item = _like(rf"(?<![^\n{CUT}])[ \t]*+(?:[{_BULLETS}]|\(?\d+[.)])[ \t]")
+    return _when(df, lambda t: F.rlike(t, F.lit(rf"[{_BULLETS}][ \t]|\d[.)][ \t]")) & item(t), _listed)
 
 
-def _masked(t: Column) -> Column:
-    """The copy with dots that end nothing masked, and terminators inside quotes and brackets held."""
+def _dots() -> str:
+    """A dot that ends nothing. Each way begins with the dot, so that other characters are passed quickly."""
     pairs = [p.split("|") for p in PAIRS_NEVER]
     first = "|".join(rf"(?<={_NO_LETTER}{a}\.)(?={_S}{b}\.)" for a, b in [*pairs, *(p.split("|") for p in PAIRS)])
-    t = _sub(t, rf"\.(?:{first})", DOT)
-    t = _sub(t, _after("|".join(f"{a}{DOT}{_S}{b}" for a, b in pairs), f"(?={_S})"), DOT)
     never = [*NEVER, *(w[0].upper() + w[1:] for w in NEVER)]
-    t = _sub(t, _after(_some(never), f"(?={_S})"), DOT)
-    t = _sub(t, _after("Sr", rf"(?={_S}+\p{{Lu}})"), DOT)
-    t = _sub(t, _after(_some(BEFORE_NUMBER), rf"(?={_S}+\d)"), DOT)
     begins = rf"(?:[{OPENERS}]|{_S})*+(?:[\p{{Lu}}\p{{Lt}}¿¡]|{_IDENTIFIER}|[\p{{Lo}}&&[^\p{{IsArabic}}]])"
-    t = _sub(t, _after(_some(PERHAPS), f"(?={_S}++(?!{begins})[^{CUT}])"), DOT)
-    t = _sub(t, _after(r"[\p{Lu}\p{Lo}]\p{M}?", rf"(?={_S}+[\p{{L}}])"), DOT)  # initials
-    t = _sub(t, rf"\.(?<=\d\.)(?={_S}+(?:{_some(AFTER_ORDINAL)})(?![\p{{L}}]))", DOT)
-    t = _sub(t, rf"\.(?=[^\s{CUT}.!?…{CLOSERS}{SPACES}])", DOT)  # decimals, versions, URLs, file names
-    return _spans(t, lambda p: _thai(_hold(p, _TERMINATORS), HELD))
+    ways = [
+        rf"(?=[^\s{CUT}.!?…{CLOSERS}{SPACES}])",  # decimals, versions, URLs, file names
+        rf"(?={_S}\p{{L}}{{1,2}}\.)(?:{first})",
+        rf"(?<=[.]{_S}\p{{L}}{{1,2}}\.)(?={_S})(?<={_NO_LETTER}(?:{'|'.join(rf'{a}[.]{_S}{b}' for a, b in pairs)})\.)",
+        rf"(?={_S}+\d)(?<={_NO_LETTER}(?:{_some(BEFORE_NUMBER)})\.)",
+        rf"(?={_S}++(?!{begins})[^{CUT}])(?<={_NO_LETTER}(?:{_some(PERHAPS)})\.)",
+        rf"(?={_S}+\p{{L}})(?<={_NO_LETTER}[\p{{Lu}}\p{{Lo}}]\p{{M}}?\.)",  # initials
+        rf"(?<=\d\.)(?={_S}+(?:{_some(AFTER_ORDINAL)})(?![\p{{L}}]))",
+        rf"(?={_S}+\p{{Lu}})(?<={_NO_LETTER}Sr\.)",
+        rf"(?={_S})(?<={_NO_LETTER}(?:{_some(never)})\.)",
+    ]
+    return rf"\.(?:{'|'.join(ways)})"
+
+
+def _masked(df: DataFrame) -> DataFrame:
+    """The copies with dots that end nothing masked, and terminators inside quotes and brackets held."""
+    df = _when(df, _has("."), lambda t: _sub(t, _dots(), DOT))
+    held = lambda p: F.when(F.rlike(p, F.lit(_THAI)), _thai(_hold(p, _TERMINATORS), HELD)).otherwise(_hold(p, _TERMINATORS))
+    return _when(df, _has(*_MARKS), lambda t: _spans(t, held))
+
+
+_THAI = "[ก-ฺเ-๎]"
+_GREEK = "[\u0370-\u03ff\u1f00-\u1fff]"
 
 
 def _thai(t: Column, by: str) -> Column:
-    thai = "[ก-ฺเ-๎]"
-    return _sub(t, rf"[ \t\xa0](?<={thai}.)(?=[ \t\xa0]*+{thai})", by)
+    return _sub(t, rf"[ \t\xa0](?<={_THAI}.)(?=[ \t\xa0]*+{_THAI})", by)
 
 
-def _cuts(t: Column) -> Column:
-    """The masked copy with a cut in the white space after each sentence."""
+def _cuts(df: DataFrame) -> DataFrame:
+    """The masked copies with a cut in the white space after each sentence."""
     upper = rf"[\p{{Lu}}\p{{Lt}}¿¡]"
     lower_after_dash = rf"(?!{_S}*[—–-]{_S}?\p{{Ll}})"
-    greek = "[;\u037e](?<=[\u0370-\u03ff\u1f00-\u1fff][^;.!…" + CUT + "]{0,80}.)(?=\\s|" + CUT + ")"
-    t = _sub(t, greek, "?")
+    df = _when(df, _like(rf"{_GREEK}[^;.!…{CUT}]*+[;\u037e]"), lambda t: _sub(t, rf"({_GREEK}[^;.!…{CUT}\u037e]*+)[;\u037e](?=\s|{CUT})", "$1?"))
     # a plain terminator ends a sentence whatever follows, but for a dash with a small letter
-    t = _sub(t, rf"(\.(?<![.\u2025-\u2026]\.)|[.\u2025-\u2026]*+[!?]+[.!?…]*)([{CLOSERS}]*+){lower_after_dash}{_S}(?!{_S}*[»])", f"$1$2{CUT}")
+    df = df.withColumn("t", _sub(F.col("t"), rf"(?=[.!?\u2025-\u2026])(\.(?<![.\u2025-\u2026]\.)|[.\u2025-\u2026]*+[!?]+[.!?…]*)([{CLOSERS}]*+){lower_after_dash}{_S}(?!{_S}*[»])", f"$1$2{CUT}"))
     # dots of an ellipsis only if a capital follows
-    t = _sub(t, rf"([.\u2025-\u2026]{{2,}}|[\u2025-\u2026])([{CLOSERS}]*+){_S}(?={_S}*[{OPENERS}]*{upper})", f"$1$2{CUT}")
+    df = _when(df, _has("..", "\u2025", "\u2026"), lambda t: _sub(t, rf"([.\u2025-\u2026]{{2,}}|[\u2025-\u2026])([{CLOSERS}]*+){_S}(?={_S}*[{OPENERS}]*{upper})", f"$1$2{CUT}"))
     # a quotation or bracket that ends with a terminator, if what follows begins a sentence
     quote = rf"({HELD}{_S}?[{CLOSERS}]++){_S}"
-    t = _sub(t, rf"{quote}(?={_S}*(?:[{OPENERS}]*+(?:{upper}|\p{{N}}|{_IDENTIFIER})|[\"“„«—(\[]{_S}?[\p{{L}}\p{{N}}]))", f"$1{CUT}")
-    return _thai(t, CUT)
+    follows = rf"(?={_S}*(?:[{OPENERS}]*+(?:{upper}|\p{{N}}|{_IDENTIFIER})|[\"“„«—(\[]{_S}?[\p{{L}}\p{{N}}]))"
+    df = _when(df, _has(HELD), lambda t: _sub(t, f"{quote}{follows}", f"$1{CUT}"))
+    return _when(df, _like(_THAI), lambda t: _thai(t, CUT))
 
 
-#: A cut that stands for no character: after terminators of scripts without spaces.
+#: What stands for no character: after cuts, and after terminators of scripts without spaces.
 POINT = "\ue006"
 
 
-def _points(t: Column) -> Column:
-    """The copy with a point after each terminator that needs no space, and its closers."""
-    t = _sub(t, rf"(?=[\u0589-\uff61])([{ANYWHERE}][{CLOSERS}!?]*+)(?![{ANYWHERE}…])", f"$1{POINT}")
-    return _sub(t, rf"([!?])(?=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])", f"$1{POINT}")
+def _points(df: DataFrame) -> DataFrame:
+    """The copies with a point after each terminator that needs no space, and its closers."""
+    df = _when(df, _like(rf"(?=[\u0589-\uff61])[{ANYWHERE}]"), lambda t: _sub(t, rf"(?=[\u0589-\uff61])([{ANYWHERE}][{CLOSERS}!?]*+)(?![{ANYWHERE}…])", f"$1{POINT}"))
+    eastern = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+    df = _when(df, _like(f"[!?]{eastern}"), lambda t: _sub(t, rf"([!?])(?={eastern})", f"$1{POINT}"))
+    return df.withColumn("t", F.replace("t", F.lit(CUT), F.lit(CUT + POINT)))
 
 
 def units(documents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -213,13 +245,10 @@ def units(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     together the units cover all but white space. A null or blank text has none. Rows that
     repeat a key are split each for itself.
     """
-    rows = documents.where("text is not null").select(key, F.monotonically_increasing_id().alias("row"), F.col("text"))
-    copy = rows.select(key, "row", _structure(F.col("text")).alias("t"))
-    copy = copy.select(key, "row", _masked(F.col("t")).alias("t"))
-    copy = copy.select(key, "row", _cuts(F.col("t")).alias("t"))
-    pieces = copy.select(key, "row", F.posexplode(F.split(_points(F.col("t")), f"(?<=[{CUT}{POINT}])", -1)).alias("i", "p"))
+    copy = documents.where("text is not null").select(key, F.monotonically_increasing_id().alias("row"), F.col("text").alias("t"))
+    copy = _points(_cuts(_masked(_structure(copy))))
+    pieces = copy.select(key, "row", F.posexplode(F.split("t", POINT, -1)).alias("i", "p"))
     blanks = F.lit(SPACES + CUT)
-    pieces = pieces.withColumn("p", F.rtrim(F.col("p"), F.lit(POINT)))
     left = F.length(F.ltrim(F.col("p"), blanks))
     sizes = pieces.select(
         key, "row", "i", F.length("p").alias("n"), (F.length("p") - left).alias("lead"), F.length(F.trim(F.col("p"), blanks)).alias("size")

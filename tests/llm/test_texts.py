@@ -209,6 +209,17 @@ def test_nested_brackets(spark):
         assert split(spark, f"{first} End.") == [[first, "End."]]
 
 
+def test_layout_of_any_length(spark):
+    long = "This heading goes on. " * 30 + "It ends"
+    question = "Γιατί " + "καλεί ο κόμβος τον άλλον " * 20 + "σήμερα;"
+    texts = [f"{long}\n=====\nThen. End.", f"{question} Ναι.", "Text:\n" + " " * 70 + "- one. Two\n" + " " * 70 + "- three", "1. One.\n1234. Two. Three\nFour", "  ## In. Out\nText.", "It ran " + "(a. B " * 12 + ") c. D" * 11 + ") once. End."]
+    assert split(spark, *texts) == [
+        [f"{long}\n=====", "Then.", "End."], [question, "Ναι."], ["Text:", "- one.", "Two", "- three"], ["1. One.", "1234. Two.", "Three", "Four"], ["## In. Out", "Text."], [texts[-1][:-5], "End."],
+    ]
+    many = "It ran (" + "a (b. C) " * 20_000 + ") once."
+    assert split(spark, f"{many} End.") == [[many, "End."]]
+
+
 def test_no_units_and_awkward_texts(spark):
     df = docs(spark, None, "", " \t \xa0\n", ". B", "🚀 Go. Ö.", "(" * 3000, '"' * 999, "a. " * 3000, "(((a. b). c). d). E")
     got = sentences.units(df.selectExpr("*", "1 as row", "2 as i", "3 as p")).orderBy("doc_id", "start_char").collect()
