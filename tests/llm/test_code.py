@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pytest
 from conftest import rows
 
 from codeweft.llm import codefilter, docpairs
@@ -70,7 +71,9 @@ def test_vendored(spark):
     assert got == {p: "vendored" for p in ("r/node_modules/quickpad/a.js", "s/lib/quickpad.js", "t/util/text.js", "u/vendor/n.go")}
 
 
-def test_lines_of_several_libraries_make_no_copy(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_lines_of_several_libraries_make_no_copy(spark, monkeypatch, most):
+    monkeypatch.setattr(codefilter, "BROADCAST_ROWS", most)
     lines = [f"if (state{i} !== expected{i}) return;" for i in range(12)]
     libraries = [(f"r/node_modules/lib{k}/a.js", "\n".join([*lines[k : k + 2], *(f"function own{k}_{i}() {{ go(); }}" for i in range(9))])) for k in range(0, 12, 2)]
     header = [f"import {{ part{i} }} from './part{i}';" for i in range(4)]
