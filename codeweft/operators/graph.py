@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import Scratch
+from ..session import Scratch, small
 
 #: Edge types that make a caller, fixed values.
 CALLER_TYPES = ["CALLS", "REFERENCES"]
@@ -73,11 +73,13 @@ def _steps(edges: DataFrame, direction: str, types: list[str]) -> DataFrame:
 
 def _spread(starts: DataFrame, steps: DataFrame, hops: int, s: Scratch, known: DataFrame | None) -> DataFrame:
     """(start, node_id, hop): least hops from each start, itself left out. Nodes that are not in `known`
-    are seen but not gone on from (None: all are)."""
-    front = s.cut(starts.select(F.col("start"), F.col("start").alias("node_id"), F.lit(0).alias("hop")).distinct())
+    are seen but not gone on from (None: all are). A front of few rows is broadcast, so that the steps are not shuffled."""
+    front, n = s.cut_counting(starts.select(F.col("start"), F.col("start").alias("node_id"), F.lit(0).alias("hop")).distinct())
     seen = front
     for hop in range(1, hops + 1):
-        go = front.join(known, "node_id", "left_semi") if known is not None and hop > 1 else front
+        go = small(front, n["rows"])
+        go = go.join(known, "node_id", "left_semi") if known is not None and hop > 1 else go
+        go = small(go, n["rows"])
         nxt = go.join(steps, go.node_id == steps.a).select("start", F.col("b").alias("node_id")).distinct()
         nxt = nxt.join(seen.select("start", "node_id"), ["start", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
         front, n = s.cut_counting(nxt)
@@ -94,8 +96,8 @@ def khop(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: int = 1, d
     The start itself is left out, missing nodes are neither given nor gone on from.
     """
     s = Scratch(nodes.sparkSession, "khop")
-    ids = nodes.select(F.col("id").alias("node_id")).distinct()
-    found = _spread(starts.where("start is not null"), _steps(edges, direction, list(types)), max(1, hops), s, ids)
+    ids = s.cut(nodes.select(F.col("id").alias("node_id")).distinct())
+    found = _spread(starts.where("start is not null"), s.cut(_steps(edges, direction, list(types))), max(1, hops), s, ids)
     return found.join(ids, "node_id", "left_semi").select("start", "node_id", "hop")
 
 
@@ -106,7 +108,7 @@ def impact_callers(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 3
     """
     s = Scratch(nodes.sparkSession, "impact")
     targets = lookup(nodes, name).select(F.col("id").alias("start"))
-    found = _spread(targets, _steps(edges, "incoming", CALLER_TYPES), depth if depth > 0 else 3, s, None)
+    found = _spread(targets, s.cut(_steps(edges, "incoming", CALLER_TYPES)), depth if depth > 0 else 3, s, None)
     place = nodes.select(F.col("id").alias("node_id"), "file_path").distinct()
     return found.join(place, "node_id", "left").select(F.col("start").alias("target"), F.col("node_id").alias("caller"), "hop", "file_path")
 

@@ -6,11 +6,15 @@
    in two levels so that a parent with very many children is no single group.
 3. The list is ranked by pointer jumping: log2(longest tour) joins give every arc its distance
    and its sum of +1/-1 to the end, hence depth, root and the entry-exit interval.
+4. Paths and descendants are read from the intervals, in blocks of a tour.
 All steps are joins on long ids; each round's table is written to the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -19,6 +23,8 @@ from ..session import Scratch
 
 #: Groups in which the children of one parent are linked.
 SIBLING_GROUPS = 64
+#: Positions of a tour that one block holds, and ids of paths that a task holds before it emits them.
+TOUR_BLOCK, PATH_IDS = 4096, 200_000
 
 
 def _encode(links: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -103,15 +109,8 @@ def _rank(arcs: DataFrame, s: Scratch) -> DataFrame:
     return lists
 
 
-def hierarchy(links: DataFrame) -> DataFrame:
-    """Rows (node_id, root_id, depth, tour_start, tour_end, descendants) of links (child, parent).
-
-    Links with a null end are left out, repeated ones count once; a child of several parents is
-    placed under the smallest. tour_start < x < tour_end holds for the tour_start x of exactly the
-    descendants, within one root. A node whose way up ends in a cycle (a self-link is one) has
-    depth -1, the smallest id on that cycle as root_id, and null for the rest. No links, no rows.
-    """
-    s = Scratch(links.sparkSession, "hierarchy")
+def _tours(links: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(node_id, root_id, depth, tour_start, tour_end, v, r) of the nodes of trees, as a table, and (node_id, root_id) of those whose way up ends in a cycle."""
     nodes, tree = _encode(links, s)
     cyclic = _peel(tree, s)
     minima = _cycle_minima(cyclic, tree, nodes, s)
@@ -125,46 +124,84 @@ def hierarchy(links: DataFrame) -> DataFrame:
         F.max(F.when(F.col("up") == 1, F.col("d"))).alias("up_d"),
         F.max(F.when(F.col("up") == 0, -F.col("w"))).alias("depth"),
     )
+    per = s.cut(per)
     size = per.where("v = r").select("r", F.col("down_d").alias("total"))
     root = size.join(nodes.select(F.col("nid").alias("r"), F.col("id").alias("root_id")), "r")
     trees = per.join(root, "r").join(name, "v")
-    trees = trees.select(
-        "node_id",
-        "root_id",
-        "depth",
-        (F.col("total") - F.col("down_d")).alias("tour_start"),
-        (F.col("total") - F.col("up_d")).alias("tour_end"),
-        ((F.col("down_d") - F.col("up_d") - 1) / 2).cast("bigint").alias("descendants"),
-    )
+    trees = trees.select("node_id", "root_id", "depth", (F.col("total") - F.col("down_d")).alias("tour_start"), (F.col("total") - F.col("up_d")).alias("tour_end"), "r")
+    s.drop(tree, ranked)
+    return trees, cyclic.join(minima, "j").join(name, "v").select("node_id", "root_id")
+
+
+_ROWS = ["node_id", "root_id", "depth", "tour_start", "tour_end", "descendants"]
+
+
+def _rows(trees: DataFrame, cycles: DataFrame) -> DataFrame:
+    below = ((F.col("tour_end") - F.col("tour_start") - 1) / 2).cast("bigint").alias("descendants")
     none = F.lit(None).cast("bigint")
-    cycles = cyclic.join(minima, "j").join(name, "v").select(
-        "node_id", "root_id", F.lit(-1).cast("bigint").alias("depth"), none.alias("tour_start"), none.alias("tour_end"), none.alias("descendants")
-    )
-    return trees.unionByName(cycles)
+    ring = cycles.select("node_id", "root_id", F.lit(-1).cast("bigint").alias("depth"), *[none.alias(c) for c in _ROWS[3:]])
+    return trees.select(*_ROWS[:5], below).unionByName(ring)
 
 
-def paths(links: DataFrame) -> DataFrame:
-    """Rows (node_id, path): the ids from the root down to the node, for nodes of trees.
+def hierarchy(links: DataFrame) -> DataFrame:
+    """Rows (node_id, root_id, depth, tour_start, tour_end, descendants) of links (child, parent).
 
-    Built by pointer jumping: each round prepends the known path of the node at the far end, so
-    that depth d takes log2(d) joins. Nodes at or above cycles are not given.
+    Links with a null end are left out, repeated ones count once; a child of several parents is
+    placed under the smallest. tour_start < x < tour_end holds for the tour_start x of exactly the
+    descendants, within one root. A node whose way up ends in a cycle (a self-link is one) has
+    depth -1, the smallest id on that cycle as root_id, and null for the rest. No links, no rows.
     """
+    return _rows(*_tours(links, Scratch(links.sparkSession, "hierarchy")))
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The paths of a block's nodes: in the order of their entries, the last node of each smaller depth is an ancestor."""
+    here, way, out, size = None, [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.list_(pa.string())))], names=["node_id", "path"])
+
+    for b in batches:
+        for r, block, depth, node, own in zip(*(b.column(c).to_pylist() for c in ("r", "block", "depth", "node_id", "own"))):
+            if (r, block) != here:
+                here, way = (r, block), []
+            del way[depth:]
+            way.append(node)
+            if own:
+                out.append((node, way.copy()))
+                size += depth + 1
+                if size > PATH_IDS:
+                    yield batch()
+                    out, size = [], 0
+    if out:
+        yield batch()
+
+
+def _paths(trees: DataFrame) -> DataFrame:
+    """(node_id, path) from the entry-exit intervals: tours are cut in blocks, and each block gets, beside its own
+    nodes, those whose interval covers its beginning: the ancestors that are open there."""
+    first, last = F.floor(F.col("tour_start") / TOUR_BLOCK).cast("bigint"), F.floor(F.col("tour_end") / TOUR_BLOCK).cast("bigint")
+    rows = trees.select("r", "depth", "tour_start", "node_id", first.alias("first"), F.explode(F.sequence(first, last)).alias("block"))
+    rows = rows.select("r", "block", "tour_start", F.col("depth").cast("int"), "node_id", (F.col("block") == F.col("first")).alias("own"))
+    return rows.repartition("r", "block").sortWithinPartitions("r", "block", "tour_start").mapInArrow(_walk, "node_id string, path array<string>")
+
+
+def hierarchy_with_paths(links: DataFrame) -> DataFrame:
+    """The rows of hierarchy() with path: the ids from the root down to the node, null at and above cycles."""
+    s = Scratch(links.sparkSession, "hierarchy")
+    trees, cycles = _tours(links, s)
+    trees = s.cut(trees)
+    return _rows(trees, cycles).join(_paths(trees), "node_id", "left")
+
+
+def paths(links: DataFrame) -> DataFrame:
+    """Rows (node_id, path): the ids from the root down to the node, for nodes of trees. Nodes at or above cycles are not given."""
     s = Scratch(links.sparkSession, "paths")
-    nodes, tree = _encode(links, s)
-    cyclic = _peel(tree, s)
-    named = tree.join(cyclic, "v", "left_anti").join(nodes.withColumnRenamed("nid", "v"), "v")
-    way, n = s.cut_counting(named.select("v", F.col("p").alias("j"), F.array("id").alias("path")), open=F.count("j"))
-    while n["open"]:
-        far = way.select(F.col("v").alias("far"), F.col("j").alias("j_"), F.col("path").alias("path_"))
-        on = way.where("j is not null").join(far, F.col("j") == F.col("far")).select("v", F.col("j_").alias("j"), F.concat("path_", "path").alias("path"))
-        step, n = s.cut_counting(on.unionByName(way.where("j is null")), open=F.count("j"))
-        s.drop(way)
-        way = step
-    return way.join(nodes.withColumnRenamed("nid", "v"), "v").select(F.col("id").alias("node_id"), "path")
+    return _paths(s.cut(_tours(links, s)[0]))
 
 
 def descendants(links: DataFrame) -> DataFrame:
-    """Rows (node_id, descendant_id, distance) for every node of a tree and each one below it."""
+    """Rows (node_id, descendant_id, distance) for every node of a tree and each one below it: those on whose path it is."""
     way = paths(links)
     return way.select(F.posexplode("path").alias("at", "node_id"), F.col("node_id").alias("descendant_id"), F.size("path").alias("k")).select(
         "node_id", "descendant_id", (F.col("k") - 1 - F.col("at")).cast("bigint").alias("distance")

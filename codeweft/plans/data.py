@@ -33,9 +33,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p4_found with the number of descendants and the full path ('>' between ids; null under cycles)."""
-    links = extends_links(spark, sf_dir)
-    way = hierarchy.paths(links).select("node_id", F.array_join("path", ">").alias("path"))
-    return hierarchy.hierarchy(links).join(way, "node_id", "left").select("node_id", "root_id", "depth", "descendants", "path")
+    found = hierarchy.hierarchy_with_paths(extends_links(spark, sf_dir))
+    return found.select("node_id", "root_id", "depth", "descendants", F.array_join("path", ">").alias("path"))
 
 
 def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:

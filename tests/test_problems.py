@@ -137,6 +137,22 @@ def test_hierarchy_random(spark, pairs):
     assert rows(hierarchy.hierarchy(spark.createDataFrame(links, "child string, parent string")), "node_id", "root_id", "depth") == brute_tree(links)
 
 
+def test_paths_in_small_blocks(spark, monkeypatch):
+    rnd = random.Random(5)
+    links = [(f"n{i:03}", f"n{rnd.randrange(max(0, i - 9), i):03}") for i in range(1, 150)] + [(f"k{i}", "hub") for i in range(60)] + [("a", "b"), ("b", "a")]
+    up = dict(links)
+
+    def way(v):
+        return [*way(up[v]), v] if v in up else [v]
+
+    monkeypatch.setattr(hierarchy, "TOUR_BLOCK", 8)
+    monkeypatch.setattr(hierarchy, "PATH_IDS", 20)
+    df = spark.createDataFrame(links, "child string, parent string")
+    assert rows(hierarchy.paths(df)) == sorted(((v, way(v)) for v in {*up, *up.values()} - {"a", "b"}), key=repr)
+    got = {r.node_id: (r.depth, r.path) for r in hierarchy.hierarchy_with_paths(df).collect()}
+    assert got["a"] == (-1, None) and got["hub"] == (0, ["hub"]) and all(p is None or len(p) == d + 1 for d, p in got.values())
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("z", "z")], "child string, parent string")
     assert rows(hierarchy.paths(df)) == [("a", ["a"]), ("b", ["a", "b"]), ("c", ["a", "b", "c"]), ("d", ["a", "b", "c", "d"])]
