@@ -6,10 +6,13 @@ A small helper for Arrow batches; a file whose brackets or literals do not close
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..schemas import SYMBOLS
 
@@ -204,25 +207,30 @@ def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, content in zip(b.column("file_path").to_pylist(), b.column("content").to_pylist()):
             got = parse(path, content)
             if got:
-                rows.append({"file_path": path, "symbols": [dict(zip(_FIELDS, s)) for s in got[0]], "imports": got[1]})
+                rows.append({"file_path": path, "version": zlib.crc32(content.encode()), "symbols": [dict(zip(_FIELDS, s)) for s in got[0]], "imports": got[1]})
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 _FIELDS = [f.split(" ")[0] for f in SYMBOLS.split(", ")]
 _TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-_ARROW = pa.schema([("file_path", pa.string()), ("symbols", pa.list_(pa.struct([(f.split(" ")[0], _TYPES[f.split(" ")[1]]) for f in SYMBOLS.split(", ")]))), ("imports", pa.list_(pa.string()))])
-_DDL = "file_path string, symbols array<struct<" + ", ".join(f.replace(" ", ": ") for f in SYMBOLS.split(", ")) + ">>, imports array<string>"
+_ARROW = pa.schema([("file_path", pa.string()), ("version", pa.int64()), ("symbols", pa.list_(pa.struct([(f.split(" ")[0], _TYPES[f.split(" ")[1]]) for f in SYMBOLS.split(", ")]))), ("imports", pa.list_(pa.string()))])
+_DDL = "file_path string, version bigint, symbols array<struct<" + ", ".join(f.replace(" ", ": ") for f in SYMBOLS.split(", ")) + ">>, imports array<string>"
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """(file_path, symbols, imports) of the files (file_path, content) that can be read."""
-    files = files.where("content is not null and file_path is not null").dropDuplicates(["file_path"]).select("file_path", "content")
+    """(file_path, version, symbols, imports) of the files (file_path, content) that can be read; version tells contents of a path apart."""
+    files = files.where("content is not null and file_path is not null").select("file_path", "content")
     return files.mapInArrow(_task, _DDL)
 
 
+def _once(df: DataFrame, place: str) -> DataFrame:
+    """The rows of one content of each path, each once by its place."""
+    one = F.min("version").over(Window.partitionBy("file_path"))
+    return df.withColumn("one", one).where("version = one").drop("one", "version").dropDuplicates(["file_path", place])
+
+
 def golang(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(symbols, imports, parsed paths)."""
     p = parsed(files)
-    return p.selectExpr("inline(symbols)"), p.selectExpr("file_path", "posexplode(imports) as (pos, imp)"), p.select("file_path")
-
-
+    symbols = _once(p.selectExpr("version", "inline(symbols)"), "ordinal").select(_FIELDS)
+    return symbols, _once(p.selectExpr("file_path", "version", "posexplode(imports) as (pos, imp)"), "pos"), p.select("file_path").distinct()

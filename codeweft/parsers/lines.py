@@ -111,10 +111,19 @@ def _ctx() -> Column:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """(file_path, line_no, line, trimmed) of files (file_path, content); a null content has none."""
-    return files.where("content is not null and file_path is not null").dropDuplicates(["file_path"]).select(
-        "file_path", F.posexplode(F.split("content", r"\r?\n")).alias("i", "line")
-    ).select("file_path", (F.col("i") + 1).alias("line_no"), "line", trim_all(F.col("line")).alias("trimmed"))
+    """(file_path, version, line_no, line, trimmed) of files (file_path, content); a null content has none.
+
+    version tells contents of one path apart; rows of a path that recurs are left to _once().
+    """
+    return files.where("content is not null and file_path is not null").select(
+        "file_path", F.xxhash64("content").alias("version"), F.posexplode(F.split("content", r"\r?\n")).alias("i", "line")
+    ).select("file_path", "version", (F.col("i") + 1).alias("line_no"), "line", trim_all(F.col("line")).alias("trimmed"))
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """The lines of one content of each path, each once. The exchange is that of the windows over a file's lines, so whole contents never move."""
+    one = F.min("version").over(Window.partitionBy("file_path"))
+    return df.withColumn("one", one).where("version = one").drop("one", "version").dropDuplicates(["file_path", "line_no"])
 
 
 def _by_line(*keys: str):
@@ -125,7 +134,7 @@ def _ruled(files: DataFrame, g: Grammar) -> DataFrame:
     kind = reduce(lambda w, r: w.when(r[1], r[0]), list(g.rules.items())[1:], F.when(*reversed(list(g.rules.items())[0])))
     ls = lines(files).where(~g.skipped).withColumn("rule", kind)
     # water keeps its place in the order, not its text
-    return ls.withColumn("line", F.when(F.col("rule").isNotNull(), _line())).withColumn("trimmed", F.when(F.col("rule").isNotNull(), _text()))
+    return _once(ls.withColumn("line", F.when(F.col("rule").isNotNull(), _line())).withColumn("trimmed", F.when(F.col("rule").isNotNull(), _text())))
 
 
 def _context(df: DataFrame, event: Column, name: str) -> DataFrame:
@@ -157,7 +166,9 @@ def _symbols(df: DataFrame, language: str, name: Column, qualified: Column, kind
 
 
 def _imports(df: DataFrame, imp: Column) -> DataFrame:
-    found = df.select("file_path", "line_no", imp.alias("imp")).where("imp <> ''")
+    kept = [c for c in df.columns if c == "version"]
+    found = df.select("file_path", *kept, "line_no", imp.alias("imp")).where("imp <> ''")
+    found = _once(found) if kept else found
     return found.select("file_path", (F.row_number().over(_by_line()) - 1).alias("pos"), "imp")
 
 
