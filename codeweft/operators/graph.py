@@ -131,3 +131,9 @@ def impact_summary(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 3
     targets = lookup(nodes, name).select(F.col("id").alias("target"), F.col("file_path").alias("defined_in")).distinct()
     per = targets.join(per, "target", "left").fillna(0, counts)
     return per.withColumn("risk", text.risk(F.col("total")))
+
+
+def impact_tests(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 3) -> DataFrame:
+    """(target, test_file, hop) of the test files with affected callers, at the least hops: the tests to run after a change."""
+    c = impact_callers(nodes, edges, name, depth).where(text.is_test_file(F.col("file_path")))
+    return c.groupBy("target", F.col("file_path").alias("test_file")).agg(F.min("hop").alias("hop"))

@@ -32,6 +32,11 @@ register(lines.php, "php")
 register(lines.rust, "rs")
 
 
+def extensions() -> list[str]:
+    """The extensions that have a parser."""
+    return sorted(_PARSERS)
+
+
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(symbols, imports, parsed) of files (file_path, content); files of other extensions are left out."""
     groups: dict[Parser, list[str]] = {}

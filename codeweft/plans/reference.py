@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, incremental, pack, pagerank, resolve, search, snapshots
-from ..parsers import golang, lines
+from ..operators import graph, incremental, pack, pagerank, ranking, resolve, search, snapshots
+from ..parsers import golang, lines, registry
+from ..schemas import SYMBOLS
 from ..session import Scratch, load
 from ..streaming import watch
 
@@ -135,6 +136,73 @@ def context_pack(spark, sf_dir):
     return pack.select(nodes, edges, ranked)[0].withColumn("relevance", F.round("relevance", 9))
 
 
+def pagerank_ranked(spark, sf_dir):
+    """Nodes in the order of their scores (compared to 9 places), then ids."""
+    return ranking.ranked(_ppr(5, True)(spark, sf_dir), [F.desc("score"), F.asc("id")])
+
+
+def search_ranked(spark, sf_dir):
+    """Matches of TASK in the order of their scores, then ids."""
+    return ranking.ranked(search_scores(spark, sf_dir).select("id", "score"), [F.desc("score"), F.asc("id")])
+
+
+def symbol_definition(spark, sf_dir):
+    """The last row of each symbol of that name or qualified name, as its definition is shown."""
+    s = symbols_view(spark, sf_dir).where((F.col("name") == NAME) | (F.col("qualified_name") == NAME))
+    shown = ["kind", "language", "exported", "signature", "documentation", "body", "start_line", "end_line"]
+    calls = F.array_join(F.coalesce("calls", F.array().cast("array<string>")), "|").alias("calls")
+    last = s.groupBy("file_path", "name").agg(F.max_by(F.struct(*shown, calls), F.struct("ordinal", "symbol_id")).alias("m"))
+    return last.select("file_path", "name", "m.*")
+
+
+def impact_tests(spark, sf_dir):
+    """The test files to run after a change of each symbol of that name."""
+    return graph.impact_tests(*_graph(spark, sf_dir), NAME)
+
+
+def _last_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each scanned path once, as scanned last, with size and checksum of its content."""
+    f = load(spark, sf_dir, "source_files").where("rel_path is not null")
+    f = f.select("rel_path", "content", F.octet_length("content").cast("bigint").alias("size"), "mtime_ns", text.checksum(F.col("content")).alias("checksum"))
+    small = f.groupBy("rel_path").agg(F.max("mtime_ns").alias("mtime_ns"))
+    return f.join(small, ["rel_path", "mtime_ns"], "left_semi").dropDuplicates(["rel_path"])
+
+
+def _last_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each repository's last delivery, as a file cache."""
+    path = snapshots.canonical_path(F.col("rel_path"))
+    c = load(spark, sf_dir, "file_cache").withColumn("rel_path", path).withColumn("grp", resolve.repository(path))
+    c = c.groupBy("grp", "snapshot_no", "rel_path").agg(F.max_by(F.struct(F.lower("checksum").alias("checksum"), "size", "mtime_ns", "symbols", "imports"), "loaded_at").alias("m")).select("grp", "snapshot_no", "rel_path", "m.*")
+    c = snapshots.placed(c, "rel_path", snapshots.deliveries(c.select("grp", "snapshot_no"))).where("next_no is null")
+    fields = [f.split(" ") for f in SYMBOLS.split(", ")]
+    known = {"name": lambda x: x["name"], "kind": lambda x: x["kind"]}
+    entry = lambda p: lambda x, i: F.struct(*[(p if f == "file_path" else i if f == "ordinal" else known[f](x) if f in known else F.lit(None)).cast(t).alias(f) for f, t in fields])
+    none = F.array().cast("array<string>")
+    return c.select("rel_path", "size", "mtime_ns", "checksum", F.transform("symbols", entry(F.col("rel_path"))).alias("symbols"), F.coalesce("imports", none).alias("imports"))
+
+
+def reindex_status(spark, sf_dir):
+    """What a pass over the last scan finds against the last deliveries, and whether a parser takes the file."""
+    files, cache = _last_scan(spark, sf_dir).drop("content"), _last_cache(spark, sf_dir)
+    found = incremental.classify(files, cache)
+    return found.withColumn("supported", text.extension(F.col("rel_path")).isin(registry.extensions()))
+
+
+def reindex_cache(spark, sf_dir):
+    """The cache after that pass: only added and modified files are parsed, failed ones keep their old entry."""
+    new = incremental.reindex(_last_scan(spark, sf_dir), _last_cache(spark, sf_dir))[3]
+    return new.select("rel_path", "size", "checksum", F.size("symbols").alias("symbols"), F.size("imports").alias("imports"))
+
+
+def reindex_edges(spark, sf_dir):
+    """Edges of the graph rebuilt from that cache, by type."""
+    s = Scratch(spark, "reindex")
+    _, symbols, imports, new = incremental.reindex(_last_scan(spark, sf_dir), _last_cache(spark, sf_dir))
+    symbols, imports = s.cut(symbols), s.cut(imports)
+    edges = resolve.build_edges(symbols, imports.select("file_path", "imp"), new.select(F.col("rel_path").alias("file_path")))
+    return edges.groupBy("type").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("weight"))
+
+
 def skeletons(spark, sf_dir):
     """Costs of each symbol's skeleton and whole text."""
     s = symbols_view(spark, sf_dir)
@@ -214,7 +282,7 @@ def _imported(parser, *extensions: str):
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_summary, language_histogram, kind_histogram, symbol_lookup, symbol_callers, file_outline, impact_callers, impact_summary, remove_test_files, query_tokens, token_estimates, built_nodes, search_scores, context_pack, skeletons, defines_edges, import_edges, call_edges, implements_edges, incremental_classify, incremental_stats, watch_bursts, path_rules, checksums, symbol_locations)
+    for f in (graph_summary, language_histogram, kind_histogram, symbol_lookup, symbol_callers, file_outline, impact_callers, impact_summary, remove_test_files, query_tokens, token_estimates, built_nodes, search_scores, context_pack, pagerank_ranked, search_ranked, symbol_definition, impact_tests, reindex_status, reindex_cache, reindex_edges, skeletons, defines_edges, import_edges, call_edges, implements_edges, incremental_classify, incremental_stats, watch_bursts, path_rules, checksums, symbol_locations)
 }
 QUERIES |= {"khop_out": _khop("outgoing"), "khop_in": _khop("incoming"), "khop_both": _khop("both", ["DEFINES"])}
 QUERIES |= {"pagerank_5": _ppr(5, True), "pagerank_uniform_3": _ppr(3, False), "pagerank": _ppr(25, True)}

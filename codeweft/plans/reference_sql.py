@@ -39,11 +39,10 @@ x as (select target, caller, cast(min(hop) as integer) as hop from (select *, 1
 imp as (select x.*, nv.file_path from x left join (select distinct id, file_path from nv) nv on nv.id = x.caller)"""
 
 
-def _pagerank(iterations: int, seeded: bool) -> str:
-    seed = "case when id in (select id from hit) then 1.0 / (select count(*) from hit) else 0.0 end" if seeded else "1.0 / (select count(*) from nv)"
+def _rounds(nodes: str, iterations: int) -> list[str]:
+    """CTEs of the ranks of nodes from p0 (id, p) on; the last is r{iterations} (id, p, r, d)."""
     parts = [
-        f"with {_N}, {_E}, {_HIT}, p0 as (select id, {seed} as p from nv)",
-        "e as materialized (select src, dst, sum(weight) as w from ev where src in (select id from nv) group by all)",
+        f"e as materialized (select src, dst, sum(weight) as w from ev where src in (select id from {nodes}) group by all)",
         "o as (select src, sum(w) as o from e group by src)",
         "r0 as (select id, p, p as r, id not in (select src from o) as d from p0)",
     ]
@@ -52,6 +51,12 @@ def _pagerank(iterations: int, seeded: bool) -> str:
             f"r{i + 1} as materialized (select r.id, r.p, 0.85 * coalesce(m.m, 0) + 0.85 * r.p * (select coalesce(sum(r), 0) from r{i} where d) + 0.15 * r.p as r, r.d "
             f"from r{i} r left join (select e.dst as id, sum(r.r * e.w / o.o) as m from e join o on o.src = e.src join r{i} r on r.id = e.src group by e.dst) m on m.id = r.id)"
         )
+    return parts
+
+
+def _pagerank(iterations: int, seeded: bool) -> str:
+    seed = "case when id in (select id from hit) then 1.0 / (select count(*) from hit) else 0.0 end" if seeded else "1.0 / (select count(*) from nv)"
+    parts = [f"with {_N}, {_E}, {_HIT}, p0 as (select id, {seed} as p from nv)", *_rounds("nv", iterations)]
     return ",\n".join(parts) + f"\nselect id, round(r, 9) as score from r{iterations}"
 
 
@@ -67,10 +72,37 @@ _TASK_TOKENS = "'cursorqueue' 'cursor' 'queue' 'snapshot' 'handler' 'schema' 'bu
 def _score() -> str:
     points = " + ".join(f"case when nm = {t} then 10 when contains(nm, {t}) then 4 else 0 end + case when contains(sig, {t}) then 2 else 0 end + case when contains(a, {t}) then 1 else 0 end" for t in _TASK_TOKENS)
     why = ", ".join(f"case when nm = {t} then 'exact_symbol_name' when contains(nm, {t}) then 'partial_symbol_name' end, case when contains(sig, {t}) then 'signature_match' end, case when contains(a, {t}) then 'path_or_doc_match' end" for t in _TASK_TOKENS)
-    return f"""with {_S}, {_F}, x as (select 'sym:' || file_path || '::' || name as id, lower(name) as nm, lower(coalesce(arg_max(coalesce(signature, ''), ordinal), '')) as sig,
+    return f"""x as (select 'sym:' || file_path || '::' || name as id, lower(name) as nm, lower(coalesce(arg_max(coalesce(signature, ''), ordinal), '')) as sig,
   lower(coalesce(arg_max(coalesce(documentation, ''), ordinal), '')) as doc, lower(file_path) as f from sv group by file_path, name),
 y as (select id, nm, sig, f || ' ' || nm || ' ' || sig || ' ' || doc as a from x union all select distinct 'file:' || file_path, '', '', lower(file_path) from fv),
-z as (select id, cast({points} as double) as score, concat_ws(',', {why}) as reason from y) select * from z where score > 0"""
+z as (select id, cast({points} as double) as score, concat_ws(',', {why}) as reason from y)"""
+
+
+def _greedy(name: str, of: str, cost: str, left: str) -> str:
+    """Steps (n, room) that take from `of` (n, ...) in order what still fits."""
+    return f"""{name}(n, room) as (select cast(0 as bigint), cast({left} as integer) union all select c.n, x.room - {cost}
+  from (select g.room, min(c.n) as n from {name} g join {of} c on c.n > g.n and g.room > 0 and c.least <= g.room group by g.room) x join {of} c on c.n = x.n)"""
+
+
+def _pack() -> str:
+    doc = "coalesce('/* ' || nullif(d, '') || e' */\\n', '')"
+    whole = "case when c.whole is not null and c.score > 0.01 and c.whole <= x.room then c.whole else c.least end"
+    return ",\n".join([
+        f"with recursive {_S}, {_F}, {_E}, {_score()}", "p0 as (select y.id, coalesce(z.score, 0) / (select sum(score) from z) as p from y left join z on z.id = y.id and z.score > 0)", *_rounds("y", 25),
+        "b as (select 'sym:' || file_path || '::' || name as id, name, arg_max(struct_pack(s := coalesce(signature, ''), d := coalesce(documentation, ''), b := coalesce(body, '')), ordinal) as m from sv group by file_path, name)",
+        f"""k as (select id, name, {_estimate(f"{doc} || s")} as least, case when b <> '' then {_estimate(f"{doc} || s || e' {{\\n' || b || e'\\n}}'")} end as whole, {_estimate("s")} as bare from (select id, name, m.s as s, m.d as d, m.b as b from b))""",
+        "c as materialized (select row_number() over (order by round(r, 12) desc, k.id) as n, k.*, round(r, 12) as score from k join r25 using (id))",
+        _greedy("g", "c", whole, "3300"),
+        "t as (select c.*, g.room, lag(g.room) over (order by g.n) as before from g left join c using (n))",
+        "u as (select *, before - room as cost from t where n > 0)",
+        "near as (select ev.dst as id, min(u.n) as first from ev join u on u.id = ev.src group by ev.dst)",
+        "h as materialized (select row_number() over (order by first, near.id) as n, near.id, first, k.bare as least from near join k using (id) where near.id not in (select id from u))",
+        _greedy("e2", "h", "c.least", "(select min(room) from g)"),
+        "v as (select n, id, case when cost = whole and score > 0.01 then 'full' else 'skeleton' end as mode, cost, score from u)",
+    ]) + """
+select cast(row_number() over (order by part, n) - 1 as integer) as pos, id, mode, cost as token_count, round(score, 9) as relevance, reason from (
+  select 0 as part, n, id, mode, cost, score, case mode when 'full' then 'Primary target' else 'Skeleton reference' end || ' (PageRank: ' || printf('%.4f', score) || ')' as reason from v
+  union all select 1, h.n, h.id, 'skeleton', h.least, 0.0, '1-hop dependency of ' || u.name from e2 join h using (n) join u on u.n = h.first)"""
 
 
 _X5 = "case when contains({0}, '.') and not ends_with({0}, '.') then regexp_extract({0}, '[^.]*$') else {0} end"
@@ -246,7 +278,20 @@ select hit.id as target, hit.file_path as defined_in, coalesce(total, 0) as tota
     "built_nodes": f"""with {_S}, {_F} select 'sym:' || file_path || '::' || name as id, 'symbol' as type, file_path, arg_max(struct_pack(x := signature), ordinal).x as signature,
   cast(octet_length(encode(coalesce(arg_max(struct_pack(x := body), ordinal).x, ''))) // 4 as integer) as token_cost, cast(octet_length(encode(coalesce(arg_max(struct_pack(x := signature), ordinal).x, ''))) // 4 as integer) as skel_cost
 from sv group by file_path, name union all select distinct 'file:' || file_path, 'file', file_path, null, 0, 0 from fv""",
-    "search_scores": _score(),
+    "search_scores": f"with {_S}, {_F}, {_score()} select * from z where score > 0",
+    "search_ranked": f"with {_S}, {_F}, {_score()} select id, score, row_number() over (order by score desc, id) as rank from z where score > 0",
+    "context_pack": _pack(),
+    "pagerank_ranked": f"select id, score, row_number() over (order by score desc, id) as rank from ({_pagerank(5, True)})",
+    "symbol_definition": f"""with {_S}, l as (select file_path, name, max_by(struct_pack(k := k, l := language, e := exported, s := signature, d := documentation, b := body, a := start_line, z := end_line, c := calls), struct_pack(o := ordinal, i := symbol_id)) as m
+  from sv where name = '{NAME}' or qualified_name = '{NAME}' group by file_path, name)
+select file_path, name, m.k as kind, m.l as language, m.e as exported, m.s as signature, m.d as documentation, m.b as body, m.a as start_line, m.z as end_line, array_to_string(coalesce(m.c, []), '|') as calls from l""",
+    "impact_tests": f"{_IMPACT} select target, file_path as test_file, min(hop) as hop from imp where {_TEST.format('file_path')} group by all",
+    "reindex_status": f"""with f as (select distinct on (rel_path) rel_path, octet_length(encode(content)) as z, mtime_ns as t, sha256(content) as c from source_files where rel_path is not null order by rel_path, mtime_ns desc),
+x as (select snapshot_no as s, regexp_replace(replace(rel_path, '\\', '/'), '^(\\./|/)+', '') as q, * from file_cache),
+d as (select split_part(q, '/', 1) as g, s, q, max_by(struct_pack(c := lower(checksum), z := size, t := mtime_ns), loaded_at) as m from x group by all),
+l as (select q, m from d where s = (select max(s) from d e where e.g = d.g)),
+k as (select coalesce(f.rel_path, l.q) as rel_path, case when f.rel_path is null then 'deleted' when l.q is null then 'added' when (f.z = l.m.z and f.t = l.m.t) or f.c = l.m.c then 'cached' else 'modified' end as status from f full join l on l.q = f.rel_path)
+select rel_path, status, {_EXT.format("rel_path")} in ('go', 'ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs', 'py', 'java', 'php', 'rs') as supported from k""",
     "skeletons": f"""with {_S}, x as (select symbol_id, coalesce('/* ' || nullif(documentation, '') || e' */\\n', '') as d, signature, body from sv)
 select symbol_id, {_estimate("coalesce(d || signature, '')")} as skel, case when coalesce(body, '') <> '' then {_estimate("coalesce(d || signature || e' {\\n' || body || e'\\n}', '')")} end as full_cost from x""",
     "defines_edges": f"with {_S} select 'file:' || file_path as src, 'sym:' || file_path || '::' || name as dst, 'DEFINES' as type, 1.0::double as weight from sv",
