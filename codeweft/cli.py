@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+from threading import Event
 
 from . import pipeline, tools
 from .operators import pack
 from .session import local_session
+from .streaming import watch
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -20,11 +22,12 @@ def main(argv: list[str] | None = None) -> int:
     context = verbs.add_parser("context")
     context.add_argument("task")
     context.add_argument("--budget", type=int, default=pack.BUDGET)
-    verbs.add_parser("serve")
+    verbs.add_parser("serve").add_argument("--watch", action="store_true", help="index again after changes of files")
     args = parser.parse_args(argv)
 
     spark = local_session()
-    index, counters = pipeline.index(spark, args.path, args.cache or f"{args.path}/.codeweft/cache", getattr(args, "force", False))
+    cache = args.cache or f"{args.path}/.codeweft/cache"
+    index, counters = pipeline.index(spark, args.path, cache, getattr(args, "force", False))
     if args.verb == "index":
         print(" ".join(f"{k}={v}" for k, v in counters.items()))
     elif args.verb == "map":
@@ -34,8 +37,14 @@ def main(argv: list[str] | None = None) -> int:
     elif args.verb == "context":
         print(index.get_context_for_task(args.task, args.budget))
     else:
-        for reply in tools.serve(index, sys.stdin):
+        stop = Event()
+        held = pipeline.Live(spark, args.path, cache, index)
+        stream = watch.follow(spark, args.path, f"{cache}.watch", held.renew, stop) if args.watch else None
+        for reply in tools.serve(held, sys.stdin):
             print(reply, flush=True)
+        stop.set()
+        if stream:
+            stream.stop()
     return 0
 
 

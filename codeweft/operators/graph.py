@@ -113,14 +113,13 @@ def impact_callers(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 3
     return found.join(place, "node_id", "left").select(F.col("start").alias("target"), F.col("node_id").alias("caller"), "hop", "file_path")
 
 
-def impact_summary(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 3) -> DataFrame:
-    """One row for each symbol of that name: affected callers in all, direct, transitive, their files and test files, and the risk.
+def impact_counts(nodes: DataFrame, affected: DataFrame, name: str) -> DataFrame:
+    """One row for each symbol of that name: its affected callers in all, direct, transitive, their files and test files, and the risk.
 
     Callers without a node count in all only.
     """
-    c = impact_callers(nodes, edges, name, depth)
     known = F.col("file_path").isNotNull()
-    per = c.groupBy("target").agg(
+    per = affected.groupBy("target").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(known & (F.col("hop") == 1)).alias("direct"),
         F.count_if(known & (F.col("hop") > 1)).alias("transitive"),
@@ -133,6 +132,11 @@ def impact_summary(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 3
     return per.withColumn("risk", text.risk(F.col("total")))
 
 
+def impact_summary(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 3) -> DataFrame:
+    """impact_counts of the callers up to `depth` calling edges away."""
+    return impact_counts(nodes, impact_callers(nodes, edges, name, depth), name)
+
+
 def impact_tests(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 3) -> DataFrame:
     """(target, test_file, hop) of the test files with affected callers, at the least hops: the tests to run after a change."""
     c = impact_callers(nodes, edges, name, depth).where(text.is_test_file(F.col("file_path")))

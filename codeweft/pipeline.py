@@ -31,3 +31,16 @@ def tools_of(cache: DataFrame, s: Scratch) -> Tools:
     nodes = s.cut(resolve.build_nodes(symbols, paths))
     edges = s.cut(resolve.build_edges(symbols, imports, paths, single=True))
     return Tools(nodes, edges, symbols)
+
+
+class Live:
+    """The tools over the newest index: a tool that runs keeps the index it began with."""
+
+    def __init__(self, spark: SparkSession, root: str, cache_path: str, tools: Tools):
+        self.spark, self.root, self.cache_path, self.tools = spark, root, cache_path, tools
+
+    def renew(self, bursts: DataFrame, batch_id: int) -> None:
+        self.tools, _ = index(self.spark, self.root, self.cache_path)
+
+    def __getattr__(self, name: str):
+        return getattr(self.tools, name)

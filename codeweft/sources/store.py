@@ -54,6 +54,10 @@ def replace(df: DataFrame, path: str) -> None:
             fs.delete(old.getPath(), True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return _pointer(spark, path) is not None
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The version of the table that its pointer names."""
     return spark.read.parquet(f"{path}/{_pointer(spark, path)}")

@@ -8,7 +8,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import text
 from .operators import graph, pack, pagerank, search
+from .session import Scratch
 
 #: Protocol revision and codes of errors, fixed values.
 PROTOCOL, METHOD_ERROR, PARAMS_ERROR = "2024-11-05", -32601, -32602
@@ -28,6 +30,11 @@ TOOLS = {
 RISK_NOTES = {"CRITICAL": "Core Architectural Bottleneck", "HIGH": "Heavily Depended On", "MEDIUM": "Moderately Connected", "LOW": "Leaf / Isolated Symbol"}
 
 
+def _lines(rows: DataFrame, *order: str) -> str:
+    """The text of rows (line, ...) in an order: the driver reads one sorted partition after the other."""
+    return "\n".join(r[0] for r in rows.orderBy(*order).select("line").toLocalIterator())
+
+
 class Tools:
     """The six tools over nodes, edges and the symbol rows they came from. Texts are built from sorted results."""
 
@@ -36,8 +43,8 @@ class Tools:
 
     def get_repo_map(self, budget_tokens: float | None = None) -> str:
         s = graph.summary(self.nodes, self.edges).first()
-        out = ["# Architectural Overview", "", f"- **Total Indexed Files**: {s.total_files}", f"- **Total Extracted Symbols**: {s.total_symbols}", f"- **Total Dependency Edges**: {s.total_edges}", ""]
-        for title, field, unit in (("## Language Distribution", "language", " symbols"), ("## Symbol Categories", "kind", "")):
+        out = ["# Repository Map", "", f"- **Total Indexed Files**: {s.total_files}", f"- **Total Extracted Symbols**: {s.total_symbols}", f"- **Total Dependency Edges**: {s.total_edges}", ""]
+        for title, field, unit in (("## Languages", "language", " symbols"), ("## Kinds", "kind", "")):
             rows = graph.histogram(self.nodes, field).orderBy(field).collect()
             out += [title, *[f"- **{r[0]}**: {r[1]}{unit}" for r in rows], ""] if rows else []
         return "\n".join(out)
@@ -56,15 +63,12 @@ class Tools:
         return pack.render(items, task_description, budget, used)
 
     def get_symbol_callers(self, symbol_name: str) -> str:
-        found = graph.callers(self.nodes, self.edges, symbol_name)
-        rows = found.groupBy("node_id", "file_path").agg(F.array_sort(F.collect_list(F.struct("caller", "edge_type"))).alias("by")).orderBy("node_id").collect()
-        if not rows:
-            return f"Symbol '{symbol_name}' was not found in the codebase index."
-        out = []
-        for r in rows:
-            calls = [f"- Called by `{c.caller}` (Edge: {c.edge_type})" for c in r.by if c.caller is not None]
-            out += [f"### Symbol `{r.node_id.rsplit('::', 1)[-1]}` in `{r.file_path}`", *(calls or ["- *No incoming callers found in index.*"]), ""]
-        return "\n".join(out)
+        found = graph.callers(self.nodes, self.edges, symbol_name).withColumn("label", F.substring_index("node_id", "::", -1))
+        targets = found.select("node_id", F.format_string("### Symbol `%s` in `%s`", "label", "file_path").alias("line"), F.lit(0).alias("part")).distinct()
+        called = F.format_string("- Called by `%s` (Edge: %s)", "caller", "edge_type")
+        calls = found.select("node_id", F.coalesce(F.when(F.col("caller").isNotNull(), called), F.lit("- No callers in the index.")).alias("line"), F.lit(1).alias("part"))
+        text = _lines(targets.unionByName(calls).unionByName(targets.withColumns({"line": F.lit(""), "part": F.lit(2)})), "node_id", "part", "line")
+        return text or f"No symbol named '{symbol_name}' is in the index: not found."
 
     def _rows(self, hit: DataFrame) -> list:
         """The last symbol row of each node of hit, in order of path and line."""
@@ -87,19 +91,28 @@ class Tools:
         return "\n".join(out)
 
     def get_impact_analysis(self, symbol_name: str, max_depth: float | None = None) -> str:
+        s = Scratch(self.nodes.sparkSession, "analysis")
         depth = int(max_depth) if max_depth and max_depth > 0 else 3
-        rows = graph.impact_summary(self.nodes, self.edges, symbol_name, depth).orderBy("target").collect()
-        if not rows:
-            return f"Symbol '{symbol_name}' was not found in the codebase index."
-        callers = graph.impact_callers(self.nodes, self.edges, symbol_name, depth).where("file_path is not null").orderBy("target", "hop", "caller").collect()
-        out = [f"# Impact & Blast Radius Analysis for `{symbol_name}`", ""]
-        for r in rows:
-            mine = [c for c in callers if c.target == r.target]
-            out += [f"## Target: `{r.target.rsplit('::', 1)[-1]}` (Defined in `{r.defined_in}`)", "", f"- **Risk Level**: **{r.risk} ({RISK_NOTES[r.risk]})**", f"- **Direct (1-Hop) Callers**: {r.direct}", f"- **Transitive Dependents**: {r.transitive}", f"- **Total Impacted Files**: {r.files}", f"- **Impacted Test Suites**: {r.test_files}", ""]
-            for title, far in (("### Direct Callers:", False), ("### Transitive Dependents:", True)):
-                part = [f"- `{c.caller}` in `{c.file_path}`" + (f" (hop {c.hop})" if far else "") for c in mine if (c.hop > 1) == far]
-                out += [title, *part, ""] if part else []
-        return "\n".join(out)
+        c = s.cut(graph.impact_callers(self.nodes, self.edges, symbol_name, depth))
+        per = s.cut(graph.impact_counts(self.nodes, c, symbol_name))
+        note = F.create_map(*[F.lit(x) for kv in RISK_NOTES.items() for x in kv])
+        head = F.array(
+            F.format_string("## Target: `%s` (defined in `%s`)", F.substring_index("target", "::", -1), "defined_in"), F.lit(""), F.format_string("- **Risk Level**: **%s (%s)**", "risk", note[F.col("risk")]),
+            F.format_string("- **Direct Callers**: %d", "direct"), F.format_string("- **Transitive Dependents**: %d", "transitive"), F.format_string("- **Impacted Files**: %d", "files"), F.format_string("- **Impacted Test Suites**: %d", "test_files"), F.lit(""),
+        )
+        known = c.where("file_path is not null")
+        far = F.col("hop") > 1
+        place = F.format_string("- `%s` in `%s`", "caller", "file_path")
+        callers = known.select("target", F.when(far, 2).otherwise(1).alias("part"), "hop", F.when(far, F.format_string("%s (hop %d)", place, "hop")).otherwise(place).alias("line"))
+        tests = known.where(text.is_test_file(F.col("file_path"))).select("target", F.lit(3).alias("part"), F.lit(0).alias("hop"), F.format_string("- `%s`", "file_path").alias("line")).distinct()
+        listed = callers.unionByName(tests)
+        titles = F.create_map(F.lit(1), F.lit("### Direct callers"), F.lit(2), F.lit("### Transitive dependents"), F.lit(3), F.lit("### Tests to run"))
+        titled = listed.select("target", "part").distinct()
+        every = per.select("target", F.lit(0).alias("part"), F.posexplode(head).alias("hop", "line")).unionByName(listed)
+        every = every.unionByName(titled.select("target", "part", F.lit(-1).alias("hop"), titles[F.col("part")].alias("line"))).unionByName(titled.select("target", "part", F.lit(2**30).alias("hop"), F.lit("").alias("line")))
+        told = _lines(every, "target", "part", "hop", "line")
+        s.close()
+        return f"# Impact of a change of `{symbol_name}`\n\n{told}" if told else f"No symbol named '{symbol_name}' is in the index: not found."
 
     def get_file_outline(self, file_path: str) -> str:
         there = self.nodes.where(F.endswith("file_path", F.lit(file_path))).agg(F.max("file_path").alias("p")).first().p

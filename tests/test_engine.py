@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from threading import Event
 
 import pytest
 from conftest import rows
@@ -256,6 +257,37 @@ def test_bursts(spark, tmp_path):
     assert sorted(seen) == [("q", 1), ("r", 1), ("r", 3)]  # the last burst stays open
 
 
+def test_watching_a_repository(spark, tmp_path):
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.py").write_text("def one(): pass\n")
+    listing = str(tmp_path / "listing")
+    assert watch.file_events(spark, str(root), listing).count() == 0
+    (root / "a.py").write_text("def one(): pass\ndef two(): pass\n")
+    (root / "b.py").write_text("def three(): pass\n")
+    (root / ".hidden").write_text("x")
+    assert rows(watch.file_events(spark, str(root), listing), "path", "op") == [("a.py", "write"), ("b.py", "write")]
+    (root / "b.py").unlink()
+    assert rows(watch.file_events(spark, str(root), listing), "path", "op") == [("b.py", "remove")]
+
+    cache = str(tmp_path / "cache")
+    live = pipeline.Live(spark, str(root), cache, pipeline.index(spark, str(root), cache)[0])
+    renewed, stop = Event(), Event()
+
+    def on_burst(burst, batch_id):
+        live.renew(burst, batch_id)
+        renewed.set()
+
+    stream = watch.follow(spark, str(root), str(tmp_path / "w"), on_burst, stop, every=0.2)
+    try:
+        (root / "c.py").write_text("def four(): pass\n")
+        assert renewed.wait(120)
+    finally:
+        stop.set()
+        stream.stop()
+    assert {r.name for r in live.symbols.select("name").collect()} == {"one", "two", "four"}
+
+
 def test_tools_and_frames(spark):
     s = spark.createDataFrame(
         [("core/engine.go", 0, "ProcessData", "ProcessData", "function", "go", "func ProcessData()", "ProcessData works.", "{ }", True, 3, 1, 5, 2, [], []), ("api/handler.go", 0, "HandleRequest", "HandleRequest", "function", "go", "func HandleRequest()", "", "{}", True, 3, 1, 5, 2, ["core.ProcessData"], []), ("api/handler_test.go", 0, "TestHandleRequest", "TestHandleRequest", "function", "go", "func TestHandleRequest()", "", "{}", True, 3, 1, 5, 2, ["HandleRequest"], [])],
@@ -274,7 +306,8 @@ def test_tools_and_frames(spark):
     assert "sym:api/handler.go::HandleRequest" in text_of(call("get_symbol_callers", symbol_name="ProcessData"))
     assert "ProcessData works." in text_of(call("get_symbol_definition", symbol_name="ProcessData", file_path="engine.go"))
     impact = text_of(call("get_impact_analysis", symbol_name="ProcessData"))
-    assert "MEDIUM" in impact and "**Impacted Test Suites**: 1" in impact and "(hop 2)" in impact
+    assert "MEDIUM" in impact and "**Impacted Test Suites**: 1" in impact and "(hop 2)" in impact and "### Tests to run\n- `api/handler_test.go`" in impact
+    assert call("get_impact_analysis", symbol_name="zz")["result"]["content"][0]["text"].endswith("not found.")
     assert "HandleRequest" in text_of(call("get_file_outline", file_path="handler.go"))
     assert "not found" in text_of(call("get_file_outline", file_path="none.go")) and "not found" in text_of(call("get_symbol_definition", symbol_name="q"))
     assert call("get_symbol_callers", symbol_name="  ")["error"]["code"] == -32602 and call("nothing")["error"]["code"] == -32601
