@@ -117,16 +117,15 @@ def _hold(p: Column, marks: str) -> Column:
 _TERMINATORS = ANYWHERE + SPACED
 #: A fenced block, to its end or the text's.
 _FENCE = r"(?<![^\n])[ \t]{0,3}(```+|~~~+)[^\n]*+(?:\n(?![ \t]{0,3}\1[`~]*[ \t]*(?:\n|\z))[^\n]*+)*+(?:\n[ \t]{0,3}\1[`~]*[ \t]*(?=\n|\z))?"
-_FENCE_WHOLE = r"[ \t]{0,3}(?:```|~~~).*"
 
 
 #: Private-use characters of a text itself are no placeholders.
 _PRIVATE = "".join(map(chr, range(0xE000, 0xE020)))
 
 
-#: A heading's line, and two lines of which the second underlines the first.
-_HEADING = r"[ \t]{0,3}#{1,6}[ \t][^\n]*+"
-_UNDERLINED = rf"(?!{_HEADING})[^\n]++\n[ \t]*(?:={{3,}}|-{{3,}})[ \t]*(?=\n)"
+#: A heading's line, and a line with the one that underlines it, if there is one.
+_HEADING = r"(?<![^\n])[ \t]{0,3}#{1,6}[ \t][^\n]*+"
+_LINE_UNDERLINED = r"[^\n]++(?:\n[ \t]*(?:={3,}|-{3,})[ \t]*(?=\n))?+"
 _BULLETS = "-*+•‣◦▪"
 #: A list number, as long as Markdown has it.
 _NUMBER = r"\d{1,9}"
@@ -149,8 +148,8 @@ def _like(pattern: str):
 def _headed(t: Column) -> Column:
     """Fences, headings and underlined headings as one line each, which begins with HEAD and ends with a cut."""
     line = lambda p: F.regexp_replace(_hold(F.translate(p, "\n", LINE), _TERMINATORS), "^([ \t]*+).", f"$1{HEAD}")
-    parts = F.regexp_extract_all(t, F.lit(f"{_FENCE}|{_UNDERLINED}|[^\n]++|\n"), F.lit(0))
-    special = lambda p: F.rlike(p, F.lit(rf"(?s)\A(?:{_FENCE_WHOLE}|{_HEADING}|[^\n]+\n.*)\z"))
+    parts = F.regexp_extract_all(t, F.lit(f"{_FENCE}|{_HEADING}|{_LINE_UNDERLINED}|\n"), F.lit(0))
+    special = lambda p: (F.contains(p, F.lit("\n")) & (F.length(p) > 1)) | F.rlike(p, F.lit(r"\A[ \t]{0,3}(?:```|~~~|#{1,6}[ \t])"))
     t = F.array_join(F.transform(parts, lambda p: F.when(special(p), line(p)).otherwise(p)), "")
     return _sub(_sub(t, rf"({HEAD}[^\n]*+)\n", f"$1{CUT}"), rf"\n(?=[ \t]*{HEAD})", CUT)
 
