@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from codeweft.operators import hierarchy, hotkeys, imports, orphans, snapshots
 
-FEW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+FEW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def T(d, h=0):
@@ -115,7 +115,7 @@ def brute_tree(links):
         [(None, "a"), ("a", None)],
         [("a", "a")],
         [("b", "a"), ("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("v", "w")],
-        [(f"n{i:03}", f"n{i - 1:03}") for i in range(1, 70)],
+        [(f"n{i:03}", f"n{i - 1:03}") for i in range(1, 40)],
         [(f"k{i:03}", "hub") for i in range(150)] + [("hub", "top"), ("k003", "other")],
     ],
 )
