@@ -8,6 +8,7 @@ import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from codeweft.operators import hierarchy, hotkeys, imports, orphans, snapshots
 
@@ -83,8 +84,21 @@ def test_import_matches_like_brute_force(spark, paths, texts):
     paths, texts = sorted({f"r/{p}" for p in paths}), sorted(set(texts))
     base = lambda p: p.rsplit("/", 2)[-2]
     brute = sorted(("r", t, p) for t in texts for p in paths if p.endswith(t) or t.removeprefix("./") in p or (base(p) or "/") and t.endswith(base(p) or "/"))
-    got = imports.matches(spark.createDataFrame([("r", t) for t in texts], "repo string, text string"), spark.createDataFrame([("r", p) for p in paths], "repo string, path string"))
-    assert sorted(set(rows(got, "repo", "text", "path"))) == brute
+    asked = spark.createDataFrame([("r", t) for t in texts] + [("r", None), (None, "a")], "repo string, text string")
+    held = spark.createDataFrame([("r", p) for p in paths] + [("r", None), ("empty", "a/b")], "repo string, path string")
+    for block in (4096, 2):  # also where a repository has several blocks
+        assert rows(imports.matches(asked, held, block_paths=block), "repo", "text", "path") == brute
+    assert {r[:2] for r in rows(imports.matches(asked, held, 1, 2))} == {r[:2] for r in brute}
+
+
+def test_imports_go_only_to_blocks_that_may_match(spark):
+    paths = [(r, f"{r}/pkg{i % 40}/deep/file_number_{i}.go") for r in ("r", "q") for i in range(400)]
+    texts = [("r", f"github.com/x/pkg{i}") for i in range(40)] + [("r", f"file_number_{i}.go") for i in range(0, 400, 7)] + [("r", "nowhere/at/all"), ("r", "deep"), ("q", "./")]
+    held = spark.createDataFrame(paths, "repo string, path string").withColumn("block", F.pmod(F.xxhash64("path"), F.lit(20)).cast("int"))
+    sent = rows(imports._where_to(spark.createDataFrame(texts, "repo string, text string"), held))
+    per = Counter((r, t) for r, _, t in sent)
+    assert per["r", "deep"] == 20 == per["q", "./"] and not per["r", "nowhere/at/all"] and len(sent) == len(set(sent))
+    assert all(per["r", f"file_number_{i}.go"] in (1, 2, 3) for i in range(0, 400, 7))
 
 
 # --- hierarchies
