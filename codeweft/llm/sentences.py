@@ -149,18 +149,28 @@ def _headed(t: Column) -> Column:
     """Fences, headings and underlined headings as one line each, which begins with HEAD and ends with a cut."""
     line = lambda p: F.regexp_replace(_hold(F.translate(p, "\n", LINE), _TERMINATORS), "^([ \t]*+).", f"$1{HEAD}")
     parts = F.regexp_extract_all(t, F.lit(f"{_FENCE}|{_HEADING}|{_LINE_UNDERLINED}|\n"), F.lit(0))
-    special = lambda p: (F.contains(p, F.lit("\n")) & (F.length(p) > 1)) | F.rlike(p, F.lit(r"\A[ \t]{0,3}(?:```|~~~|#{1,6}[ \t])"))
+    marked = lambda p: _has("#", "```", "~~~")(p) & F.rlike(p, F.lit(r"\A[ \t]{0,3}(?:```|~~~|#{1,6}[ \t])"))
+    special = lambda p: (F.contains(p, F.lit("\n")) & (F.length(p) > 1)) | marked(p)
     t = F.array_join(F.transform(parts, lambda p: F.when(special(p), line(p)).otherwise(p)), "")
     return _sub(_sub(t, rf"({HEAD}[^\n]*+)\n", f"$1{CUT}"), rf"\n(?=[ \t]*{HEAD})", CUT)
 
 
-def _listed(t: Column) -> Column:
+#: What stands before a line. A pattern that begins with it, or with a look at the first character, passes others quickly.
+_START = rf"(?:\A|[\n{CUT}])"
+
+
+def _ended(t: Column) -> Column:
+    """Marked list items with a cut at their line's end."""
+    return _sub(t, rf"({MARK}[^\n{CUT}]*+)\n", f"$1{CUT}")
+
+
+def _listed(df: DataFrame) -> DataFrame:
     """List items, marked and cut: bullets anywhere, numbers after a cut, another item or as 1."""
-    t = _sub(t, rf"(?<![^\n{CUT}])([ \t]*+)[{_BULLETS}](?=[ \t]+[^\n{CUT}])", f"$1{MARK}")
-    t = _sub(t, rf"({MARK}[^\n{CUT}]*+)\n", f"$1{CUT}")
-    t = _sub(t, rf"((?:\G|(?<={CUT})|\A|(?<![^\n{CUT}])(?=[ \t]*+\(?1[.)]))[ \t]*+\(?{_NUMBER})[.)](?![ \t]+(?:{_some(AFTER_ORDINAL)})(?!\p{{L}}))([ \t]+[^\n{CUT}]*+[\n{CUT}])", f"$1{MARK}$2")
-    t = _sub(t, rf"({MARK}[^\n{CUT}]*+)\n", f"$1{CUT}")
-    return _sub(t, rf"\n(?=[ \t]*+\(?(?:{_NUMBER})?{MARK})", CUT)
+    bullet = rf"({_START}[ \t]*+)[{_BULLETS}](?=[ \t]+[^\n{CUT}])"
+    df = _when(df, _like(rf"{_START}[ \t]*+[{_BULLETS}][ \t]"), lambda t: _ended(_sub(t, bullet, f"$1{MARK}")))
+    number = rf"(?=[ \t(\d])((?:\G|(?<={CUT})|\A|(?<![^\n{CUT}])(?=[ \t]*+\(?1[.)]))[ \t]*+\(?{_NUMBER})[.)](?![ \t]+(?:{_some(AFTER_ORDINAL)})(?!\p{{L}}))([ \t]+[^\n{CUT}]*+[\n{CUT}])"
+    df = _when(df, _like(rf"{_START}[ \t]*+\(?{_NUMBER}[.)][ \t]"), lambda t: _ended(_sub(t, number, f"$1{MARK}$2")))
+    return _when(df, _has(MARK), lambda t: _sub(t, rf"\n(?=[ \t]*+\(?(?:{_NUMBER})?{MARK})", CUT))
 
 
 def _structure(df: DataFrame) -> DataFrame:
@@ -170,8 +180,7 @@ def _structure(df: DataFrame) -> DataFrame:
     df = _when(df, _has("\r"), lambda t: _sub(_sub(t, "\r(?=\n)", " "), "\r", "\n"))
     df = _when(df, _has("```", "~~~", "#", "===", "---"), _headed)
     df = _when(df, _like(rf"\n{_BLANK}*+[\n{CUT}]"), lambda t: _sub(t, rf"\n(?={_BLANK}*+[\n{CUT}])", CUT))
-    item = _like(rf"(?<![^\n{CUT}])[ \t]*+(?:[{_BULLETS}]|\(?\d+[.)])[ \t]")
-    return _when(df, lambda t: F.rlike(t, F.lit(rf"[{_BULLETS}][ \t]|\d[.)][ \t]")) & item(t), _listed)
+    return _listed(df)
 
 
 def _dots() -> str:
