@@ -226,7 +226,7 @@ def _cuts(df: DataFrame) -> DataFrame:
     # a plain terminator ends a sentence whatever follows, but for a dash with a small letter
     df = df.withColumn("t", _sub(F.col("t"), rf"(?=[.!?\u2025-\u2026])(\.(?<![.\u2025-\u2026]\.)|[.\u2025-\u2026]*+[!?]+[.!?…]*)([{CLOSERS}]*+){lower_after_dash}{_S}(?!{_S}*[»])", f"$1$2{CUT}"))
     # dots of an ellipsis only if a capital follows
-    df = _when(df, _has("..", "\u2025", "\u2026"), lambda t: _sub(t, rf"([.\u2025-\u2026]{{2,}}|[\u2025-\u2026])([{CLOSERS}]*+){_S}(?={_S}*[{OPENERS}]*{upper})", f"$1$2{CUT}"))
+    df = _when(df, _has("..", "\u2025", "\u2026"), lambda t: _sub(t, rf"(?=[.\u2025-\u2026])([.\u2025-\u2026]{{2,}}|[\u2025-\u2026])([{CLOSERS}]*+){_S}(?={_S}*[{OPENERS}]*{upper})", f"$1$2{CUT}"))
     # a quotation or bracket that ends with a terminator, if what follows begins a sentence
     quote = rf"({HELD}{_S}?[{CLOSERS}]++){_S}"
     follows = rf"(?={_S}*(?:[{OPENERS}]*+(?:{upper}|\p{{N}}|{_IDENTIFIER})|[\"“„«—(\[]{_S}?[\p{{L}}\p{{N}}]))"
