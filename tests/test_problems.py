@@ -219,3 +219,26 @@ def test_file_changes(spark):
         (3, "r/b", "removed"), (3, "r/c", "modified"), (3, "r/d", "added"), (4, "r/a", "modified"), (4, "r/c", "removed"), (4, "r/d", "modified"),
     ]
     assert snapshots.file_changes(df.limit(0)).count() == 0
+
+def test_file_changes_with_many_deliveries(spark, monkeypatch):
+    """Groups with gaps, one of them large, against brute force; beyond the bound nothing that grows with the deliveries is broadcast."""
+    monkeypatch.setattr(snapshots, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(snapshots, "PIECE_ROWS", 20)
+    rand = random.Random(3)
+    data = [(s, f"g{g}/f{k}", str(rand.randrange(2)), T(1)) for g in range(6) for s in (1, 2, 3, 5, 9, -(2**31), 2**31 - 1) if rand.random() < 0.8 for k in range(150 if g == 1 else 8) if rand.random() < 0.7]
+    df = spark.createDataFrame(data, "snapshot_no int, rel_path string, checksum string, loaded_at timestamp")
+    held = {}
+    for s, p, c, _ in data:
+        held.setdefault(p.split("/")[0], {}).setdefault(s, {})[p] = c
+    want = []
+    for per in held.values():
+        for a, b in zip(sorted(per), sorted(per)[1:]):
+            want += [(b, p, "added" if p not in per[a] else "removed" if p not in per[b] else "modified") for p in per[a].keys() | per[b].keys() if per[a].get(p) != per[b].get(p)]
+    got = snapshots.file_changes(df)
+    assert rows(got, "snapshot_no", "key", "change") == sorted(want, key=repr)
+    assert rows(snapshots.file_changes(df.withColumn("snapshot_no", F.col("snapshot_no").cast("double"))).select(F.col("snapshot_no").cast("int"), "key", "change")) == sorted(want, key=repr)
+
+    table, n = snapshots.deliveries(df.select(F.split_part("rel_path", F.lit("/"), F.lit(1)).alias("grp"), "snapshot_no"))
+    assert n > 30 and 0 < table.where("pieces > 1").count() < 8 and table.where("pieces > 1 and grp <> 'g1'").count() == 0
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1 and "LeftOuter" in plan
