@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..session import BROADCAST_ROWS, Scratch
 
@@ -49,7 +50,7 @@ MINIFIED_LINE, MINIFIED_NAMED_LINE = 160, 110
 DATA_SHARE = 0.65
 #: Share of a file's distinct lines that one known library has, from which it is a copy.
 COPY_SHARE = 0.6
-#: Lines that more libraries than this have tell none of them and do not count.
+#: Lines that more libraries than this have tell none of them and do not count; files that this leaves undecided are held against whole vendored files.
 COMMON_LIBRARIES = 20
 #: Characters from which a line counts for that.
 LINE_CHARS = 12
@@ -201,12 +202,40 @@ def _library(path: Column) -> Column:
     return F.regexp_replace(F.when(below != "", below).otherwise(F.lower(F.substring_index(path, "/", -1))), r"(?:[.-]min)?\.\w{1,4}$", "")
 
 
+def _whole_copies(s: Scratch, judged: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row) of those rows that share COPY_SHARE of the larger one's lines with some vendored file, whatever lines these are.
+
+    Equal sets of lines are compared once. If two sets share that many lines, they share one of the rarest of each, as
+    many as may be missing and one more; so only pairs that share one of these are compared, and no pair is lost.
+    """
+
+    def sets(files: DataFrame) -> DataFrame:
+        each = files.where("size(lines) > 0").select(F.sort_array("lines").alias("lines")).distinct()
+        return s.cut(each.withColumn("id", F.monotonically_increasing_id()))
+
+    open_ = judged.join(rows, "row", "left_semi")
+    mine, theirs = sets(open_), sets(judged.where("kind = 'vendored'"))
+    often = s.cut(theirs.select(F.explode("lines").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+
+    def rarest(t: DataFrame, *names: str) -> DataFrame:
+        known = t.select("id", F.size("lines").alias("size"), F.explode("lines").alias("x")).join(often, "x")
+        at = F.row_number().over(Window.partitionBy("id").orderBy("n", "x")).alias("at")
+        placed = known.select("id", "size", "x", at, F.count(F.lit(1)).over(Window.partitionBy("id")).alias("known"))
+        return placed.where(f"at <= known - {COPY_SHARE} * size + 1").select("x", F.col("id").alias(names[0]), F.col("size").alias(names[1]))
+
+    near = rarest(mine, "id", "size").join(rarest(theirs, "id2", "size2"), "x").where(f"least(size, size2) >= {COPY_SHARE} * greatest(size, size2)")
+    pairs = near.select("id", "id2").distinct().join(mine, "id").join(theirs.select(F.col("id").alias("id2"), F.col("lines").alias("lines2")), "id2")
+    alike = pairs.where(f"size(array_intersect(lines, lines2)) >= {COPY_SHARE} * greatest(size(lines), size(lines2))").select("lines").distinct()
+    return open_.select("row", F.sort_array("lines").alias("lines")).join(alike, "lines", "left_semi").select("row")
+
+
 def not_hand_written(files: DataFrame) -> DataFrame:
     """(rel_path, kind) of files that are generated, vendored, minified or data; one row per path.
 
     The path's rules come first, then notices and banners in the header, the share of literals
     and the code per line. Of the rest, a file most of whose lines also stand in one library
-    among the files found to be vendored is a copy ('vendored' too). A null or empty content is judged by its path, a null path left out.
+    among the files found to be vendored is a copy ('vendored' too), and so is one that lines of very many
+    libraries leave undecided, if it and some vendored file have most of their lines in common. A null or empty content is judged by its path, a null path left out.
     Contents are read once and never shuffled.
     """
     s = Scratch(files.sparkSession, "filter")
@@ -216,9 +245,10 @@ def not_hand_written(files: DataFrame) -> DataFrame:
 
     library = judged.where("kind = 'vendored'").select(_library(F.col("rel_path")).alias("library"), F.explode("lines").alias("x")).distinct()
     often = library.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("library").alias("library"))
-    common = often.where(f"n > {COMMON_LIBRARIES}").select("x", F.lit(None).cast("string").alias("library"))
-    several = library.join(often.where(f"n between 2 and {COMMON_LIBRARIES}").select("x"), "x", "left_semi")
-    told, n = s.cut_counting(often.where("n = 1").select("x", "library").unionByName(several.select("x", "library")).unionByName(common))
+    common = often.where(f"n > {COMMON_LIBRARIES}").select("x", F.lit(None).cast("string").alias("library"), F.lit(1).alias("one"))
+    several = library.join(often.where(f"n between 2 and {COMMON_LIBRARIES}").select("x", F.col("library").alias("first")), "x")
+    several = several.select("x", "library", (F.col("library") == F.col("first")).cast("int").alias("one"))  # one of a line's rows counts it
+    told, n = s.cut_counting(often.where("n = 1").select("x", "library", F.lit(1).alias("one")).unionByName(several).unionByName(common))
 
     # of each open row the lines that one library has, and those that tell none (library null)
     open_ = judged.where("kind is null").select("row", F.size("lines").alias("lines"), F.explode("lines").alias("x"))
@@ -227,9 +257,15 @@ def not_hand_written(files: DataFrame) -> DataFrame:
     else:  # a line of very many files is looked up in pieces
         salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = open_.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["x", "salt"])
-    per = met.groupBy("row", "lines", "library").agg(F.count(F.lit(1)).alias("same"))
+    per = met.groupBy("row", "lines", "library").agg(F.count(F.lit(1)).alias("same"), F.sum("one").alias("known"))
     best = F.max(F.when(F.col("library").isNotNull(), F.col("same")))
-    count = F.col("lines") - F.coalesce(F.sum(F.when(F.col("library").isNull(), F.col("same"))), F.lit(0))
-    copies = per.groupBy("row", "lines").agg(best.alias("same"), count.alias("n")).where(f"same >= {COPY_SHARE} * n").select("row")
+    shared = F.coalesce(F.sum(F.when(F.col("library").isNull(), F.col("same"))), F.lit(0))
+    each = per.groupBy("row", "lines").agg(best.alias("same"), shared.alias("shared"), F.sum("known").alias("known"))
+    copy = F.coalesce(F.expr(f"same >= {COPY_SHARE} * (lines - shared)"), F.lit(False))
+    told_of = each.select("row", copy.alias("copy")).where(f"copy or shared > 0 and known >= {COPY_SHARE} * lines")
+    told_of, n = s.cut_counting(told_of, undecided=F.count_if(~F.col("copy")))
+    copies = told_of.where("copy").select("row")
+    if n["undecided"]:
+        copies = copies.unionByName(_whole_copies(s, judged, told_of.where("not copy").select("row")))
     copies = judged.select("row", "rel_path").join(copies, "row", "left_semi").select("rel_path", F.lit("vendored").alias("copied")).distinct()
     return known.join(copies, "rel_path", "left").select("rel_path", F.coalesce("kind", "copied").alias("kind")).where("kind is not null")

@@ -83,6 +83,18 @@ def test_lines_of_several_libraries_make_no_copy(spark, monkeypatch, most):
     assert got == {p: "vendored" for p, _ in [*libraries, *many, copy]}
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_copies_of_what_very_many_libraries_hold(spark, monkeypatch, most):
+    monkeypatch.setattr(codefilter, "BROADCAST_ROWS", most)
+    part = [f"export function shim{i}(target) {{ return target.shim{i}; }}" for i in range(12)]
+    header = [f"import {{ piece{i} }} from './piece{i}';" for i in range(6)]
+    many = [(f"r/node_modules/lib{k}/shim.js", "\n".join(part)) for k in range(25)]
+    large = [(f"r/node_modules/lib{k}/main.js", "\n".join([*header, *(f"function main{k}_{i}() {{ go(); }}" for i in range(20))])) for k in range(25)]
+    copies = [("t/src/shim.js", "\n".join(part)), ("t/src/again.js", "\n".join(part)), ("t/src/changed.js", "\n".join([*part[:5], "export function added(target) { return 1; }", *part[6:]]))]
+    hand = [("t/src/index.js", "\n".join(header)), ("t/src/short.js", "\n".join([*header, "const started = begin(piece0, piece1);"])), ("t/src/half.js", "\n".join([*part[:6], *(f"function own{i}() {{ rest(); }}" for i in range(6))]))]
+    assert kinds(spark, *many, *large, *copies, *hand) == {p: "vendored" for p, _ in [*many, *large, *copies]}
+
+
 def test_rescanned_and_empty_tables(spark):
     assert kinds(spark, ("r/x.go", "// Code generated by t. DO NOT EDIT.\n"), ("r/x.go", "// Code generated by t. DO NOT EDIT.\n"), ("r/x.go", None)) == {"r/x.go": "generated"}
     assert codefilter.not_hand_written(spark.createDataFrame([], "rel_path string, content string")).count() == 0
